@@ -1,7 +1,11 @@
 """Helpers that several operators share."""
 
+import sys
 import tempfile
+import types
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +39,23 @@ def ascii_lower(column):
 def row_key(*columns):
     """96 bits that tell rows apart, as two longs; equal rows share them."""
     return [F.xxhash64(*columns).alias("k1"), F.hash(*reversed(columns)).cast("long").alias("k2")]
+
+
+def fit_in_task(rows: DataFrame, learn):
+    """``learn`` of all ``rows``, a sample bounded by the caller, as one Arrow table in one task of
+    an executor: the driver sees the fitted model alone."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(rows.schema)
+
+    def run(batches):
+        table = pa.Table.from_batches([pa.record_batch(b.columns, schema=schema) for b in batches], schema)
+        yield pa.record_batch([pa.array([cloudpickle.dumps(learn(table))], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return cloudpickle.loads(found[0].model) if found else learn(schema.empty_table())
+
+
+def worker_store() -> dict:
+    """A dict that lives as long as the Python worker, over all tasks that reuse it."""
+    return sys.modules.setdefault("_quillmesh_worker", types.ModuleType("_quillmesh_worker")).__dict__

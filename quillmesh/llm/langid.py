@@ -19,20 +19,21 @@ WORDS = re.compile(r"[^\W\d_]+")
 
 
 class Model:
-    """langs; words and grams: {string: log frequencies by language}; prior: log shares."""
+    """langs; words and grams: {string: row of matrix}; matrix: log frequencies by language; prior:
+    log shares."""
 
-    def __init__(self, langs, words, grams, prior):
-        self.langs, self.words, self.grams, self.prior = langs, words, grams, prior
+    def __init__(self, langs, words, grams, matrix, prior):
+        self.langs, self.words, self.grams, self.matrix, self.prior = langs, words, grams, matrix, prior
 
     def vector(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.matrix[known]
         marked = f"<{word}>"
         for n in range(LONGEST, 0, -1):
             found = [g for k in range(len(marked) - n + 1) if (g := self.grams.get(marked[k : k + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.matrix[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
@@ -70,7 +71,7 @@ def classify(model: Model, texts, keep: int = 300_000, piece: int = 1 << 20):
             rows = _Rows(model)
 
 
-def train(docs: DataFrame, per_language: int = 2000, max_entries: int = 200_000, split: int | None = 5, held: int = 0, smooth: float = 0.5) -> Model:
+def train(docs: DataFrame, per_language: int = 2000, max_entries: int = 100_000, split: int | None = 5, held: int = 0, smooth: float = 0.5) -> Model:
     """Fit on about ``per_language`` documents of each language, picked by hash of id, without those
     of crc32(id) mod ``split`` = ``held``. Words and n-grams are counted by Spark; the
     ``max_entries`` most frequent words (three times or more) and n-grams make the model."""
@@ -80,7 +81,7 @@ def train(docs: DataFrame, per_language: int = 2000, max_entries: int = 200_000,
     totals = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
-        return Model([], {}, {}, np.zeros(0))
+        return Model([], {}, {}, np.zeros((0, 0)), np.zeros(0))
     share = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_language / totals[lang]))]), F.col("lang"))
     sample = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < share * 1_000_000)
     counted = settle(
@@ -100,30 +101,27 @@ def train(docs: DataFrame, per_language: int = 2000, max_entries: int = 200_000,
     grams = counted.select("lang", "n", F.explode(pieces).alias("w")).groupBy("lang", "w").agg(F.sum("n").alias("n"))
 
     def top(frame, least):
-        row = F.array(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)) for lang in langs])
-        best = frame.groupBy("w").agg(row.alias("c"), F.sum("n").alias("t")).where(F.col("t") >= least)
-        found = best.orderBy(F.desc("t"), "w").limit(max_entries).collect()
-        return [r.w for r in found], np.array([r.c for r in found], float).reshape(-1, len(langs))
+        sums = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).cast("double").alias(f"c{k}") for k, lang in enumerate(langs)]
+        best = frame.groupBy("w").agg(F.sum("n").alias("t"), *sums).where(F.col("t") >= least)
+        found = best.orderBy(F.desc("t"), "w").limit(max_entries).toArrow()
+        return found.column("w").to_pylist(), np.stack([found.column(f"c{k}").to_numpy() for k in range(len(langs))], 1).reshape(-1, len(langs))
 
-    def vectors(names, counts, groups):
+    def logs(names, counts, groups):
         out = np.empty_like(counts)
-        for g in set(groups):
-            rows = np.array([x == g for x in groups])
+        groups = np.array(groups, int)
+        for g in np.unique(groups):
+            rows = groups == g
             sums = counts[rows].sum(axis=0)
             out[rows] = np.log((counts[rows] + smooth) / (sums + smooth * rows.sum()))
         # Only differences between languages matter.
-        out -= out.max(axis=1, keepdims=True) if len(out) else 0
-        return dict(zip(names, out))
+        return out - out.max(axis=1, keepdims=True) if len(out) else out
 
     words, word_counts = top(counted, 3)
     parts, part_counts = top(grams, 3)
+    matrix = np.concatenate([logs(words, word_counts, [0] * len(words)), logs(parts, part_counts, [len(p) for p in parts])])
     n = np.array([totals[lang] for lang in langs], float)
-    return Model(
-        langs,
-        vectors(words, word_counts, [0] * len(words)),
-        vectors(parts, part_counts, [len(p) for p in parts]),
-        np.log(n / n.sum()),
-    )
+    at = dict(zip(parts, range(len(words), len(matrix))))
+    return Model(langs, dict(zip(words, range(len(words)))), at, matrix, np.log(n / n.sum()))
 
 
 def predict(docs: DataFrame, model: Model, split: int = 5, held: int = 0) -> DataFrame:

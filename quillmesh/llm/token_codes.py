@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, worker_store
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -101,10 +101,16 @@ class Codes:
 
 
 class WordEncoder:
-    """Encodes by white-space separated words, which this tokenizer never joins; words seen lately
-    come from a cache of bounded size."""
+    """Encodes by white-space separated words, which this tokenizer never joins.
 
-    def __init__(self, path: str | None, keep: int = 400_000):
+    Words met lately are kept in two generations of bounded size. New words that are letters and
+    then ASCII marks are encoded many at a time: letters are one pre-token, whose last id alone ends
+    a word, so the ids fall apart again at those; anything else is encoded by itself.
+    """
+
+    MARKS = b".,!?%&$#*;:"
+
+    def __init__(self, path: str | None = None, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -112,22 +118,68 @@ class WordEncoder:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.keep, self.cache = Tokenizer.from_file(path), keep, {}
-
-    def encode(self, text: bytes, piece: int = 1 << 22) -> np.ndarray:
-        out, words = [], text.split()
-        for k in range(0, len(words), piece):
-            part = words[k : k + piece]
-            if len(self.cache) > self.keep:
-                self.cache.clear()
-            cache = self.cache
-            new = [w for w in set(part) if w not in cache]
-            for j in range(0, len(new), 4096):
-                some = new[j : j + 4096]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                    cache[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(cache.__getitem__, part)))
-        return np.frombuffer(b"".join(out), "<u4")
+        self.tokenizer, self.keep, self.new, self.old = Tokenizer.from_file(path), keep, {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    @classmethod
+    def of_worker(cls, path: str | None) -> "WordEncoder":
+        """One encoder for each Python worker: loading and warming up cost more than a task."""
+        store = worker_store()
+        return store.get(("encoder", path)) or store.setdefault(("encoder", path), cls(path))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, words: list[bytes]) -> None:
+        """Put words that are in neither generation into the new one."""
+        new, plain, rest = self.new, {}, []
+        for w in words:
+            stem = w.rstrip(self.MARKS)
+            if stem and stem.decode().isalpha():
+                plain.setdefault(stem, []).append(w)
+            else:
+                rest.append(w)
+        stems = [s for s in plain if s not in new]
+        for k in range(0, len(stems), 2048):
+            some = stems[k : k + 2048]
+            ids = self._ids([b" ".join(some).decode()])[0]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                new.update(zip(some, (data[a:b] for a, b in zip(at, at[1:]))))
+            else:  # a letter that is no letter in lower case
+                new.update(zip(some, (x.tobytes() for x in self._ids([s.decode() for s in some]))))
+        marks = {w[len(s) :] for s, ws in plain.items() for w in ws} - new.keys() - {b""}
+        rest += marks
+        for k in range(0, len(rest), 4096):
+            some = rest[k : k + 4096]
+            new.update(zip(some, (x.tobytes() for x in self._ids([w.decode() for w in some]))))
+        for stem, ws in plain.items():
+            for w in ws:
+                if len(w) > len(stem):
+                    new[w] = new[stem] + new[w[len(stem) :]]
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; new words of all texts are encoded together."""
+        split = [t.split() for t in texts]
+        if len(self.new) > self.keep // 2:
+            self.old, self.new = self.new, {}
+        wanted = set().union(*split) - self.new.keys()
+        old, unknown = self.old, []
+        for w in wanted:
+            known = old.get(w)
+            if known is None:
+                unknown.append(w)
+            else:
+                self.new[w] = known
+        self._add(unknown)
+        find = self.new.__getitem__
+        return [np.frombuffer(b"".join(map(find, words)), "<u4") for words in split]
+
+    def encode(self, text: bytes) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 def write_codes(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, shard_tokens: int = 1 << 20) -> None:
@@ -141,7 +193,7 @@ def write_codes(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
     """
 
     def run(batches):
-        encoder, ids, ends, chunks, seq, total = WordEncoder(tokenizer), [], [], [], 0, 0
+        encoder, ids, ends, chunks, seq, total = WordEncoder.of_worker(tokenizer), [], [], [], 0, 0
         end = np.array([end_id], "<u4")
 
         def shard():
@@ -160,15 +212,26 @@ def write_codes(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
                 names=["seq", "doc_ids", "null_ids", "ends", "tokens", "codes"],
             )
 
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                chunks += [encoder.encode(text.as_py() or b""), end]
-                total += len(chunks[-2]) + 1
-                ids.append(i)
-                ends.append(total)
-                if total >= shard_tokens:
-                    yield shard()
-                    ids, ends, chunks, total, seq = [], [], [], 0, seq + 1
+        def encoded(batches):
+            """(id, token ids), a few MB of text at a time."""
+            for batch in batches:
+                some, size = [], 0
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    some.append((i, text.as_py() or b""))
+                    size += len(some[-1][1])
+                    if size >= 1 << 22:
+                        yield from zip([i for i, _ in some], encoder.encode_all([t for _, t in some]))
+                        some, size = [], 0
+                yield from zip([i for i, _ in some], encoder.encode_all([t for _, t in some]))
+
+        for i, tokens in encoded(batches):
+            chunks += [tokens, end]
+            total += len(tokens) + 1
+            ids.append(i)
+            ends.append(total)
+            if total >= shard_tokens:
+                yield shard()
+                ids, ends, chunks, total, seq = [], [], [], 0, seq + 1
         if ids:
             yield shard()
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import fit_in_task, id_bucket
 
 # Closed classes of the grammar in English, German, French and Spanish.
 TARGET = frozenset("you your yours u he him she her they them du dich dir dein ihr euch tu toi ton vous votre usted ustedes tú ti".split())
@@ -122,13 +122,22 @@ def learn(rows: list[tuple[str, int]], least: int = 4, precision: float = 0.8, f
 
     words = {w: weight(t, seen[0][w]) for w, t in seen[1].items() if t >= least and t >= precision * (t + seen[0][w])}
     words = {w: x for w, x in words.items() if x > 2}
+    # Stems are sought among beginnings of words that toxic texts alone hold.
+    common, forms_of = Counter(), Counter()
+    for w, n in seen[1].items():
+        if w not in seen[0]:
+            for k in range(4, min(len(w), 12) + 1):
+                common[w[:k]] += n
+                forms_of[w[:k]] += 1
+    likely = {p for p, n in common.items() if n >= 3 * least and forms_of[p] >= forms}
     at: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0])
     for label in (0, 1):
         for w, n in seen[label].items():
             for k in range(4, min(len(w), 12) + 1):
-                entry = at[w[:k]]
-                entry[label] += n
-                entry[2] += label
+                if w[:k] in likely:
+                    entry = at[w[:k]]
+                    entry[label] += n
+                    entry[2] += label
     good = {p for p, (c, t, f) in at.items() if f >= forms and t >= 3 * least and t >= max(precision, 0.9) * (t + c)}
     stems = {p: min(6.0, weight(at[p][1], at[p][0])) for p in good if p[:-1] not in good}
     grammar = Grammar({w: min(6.0, x) for w, x in words.items()}, stems)
@@ -160,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, split: int
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # Bounded by max_rows, so safe to send to every task.
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    return learn([(r.text, r.toxic) for r in rows.select("text", "toxic").collect()])
+    return fit_in_task(rows.select("text", "toxic").limit(2 * max_rows), lambda t: learn(list(zip(t.column(0).to_pylist(), t.column(1).to_pylist()))))
 
 
 def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, split: int = 3, held: int = 1) -> DataFrame:

@@ -37,7 +37,8 @@ def test_held_out_accuracy_and_contract(spark):
 def test_backoff_by_hand():
     import numpy as np
 
-    model = L.Model(["a", "b"], {"known": np.array([0.0, -5.0])}, {"zz": np.array([-4.0, 0.0]), "z": np.array([0.0, -9.0])}, np.log([0.5, 0.5]))
+    matrix = np.array([[0.0, -5.0], [-4.0, 0.0], [0.0, -9.0]])
+    model = L.Model(["a", "b"], {"known": 0}, {"zz": 1, "z": 2}, matrix, np.log([0.5, 0.5]))
     assert next(L.classify(model, ["Known"]))[0] == "a"
     lang, score = next(L.classify(model, ["zzy"]))  # two letters known: one letter is not looked at
     assert lang == "b" and math.isclose(score, 1 / (1 + math.exp(-4.0)))

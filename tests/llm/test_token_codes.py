@@ -25,11 +25,17 @@ TEXTS = ["Hello WORLD's é", None, "", " \n\t ", "a b　c", "<|endoftext|>x <|s
 
 
 def test_words_encode_as_texts():
-    encoder = T.WordEncoder(None, keep=3)
+    encoder = T.WordEncoder(None, keep=30)
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for t in TEXTS:
         want = whole.encode(t or "", add_special_tokens=False).ids
-        assert encoder.encode((t or "").encode(), piece=2).tolist() == want, t
+        assert encoder.encode((t or "").encode()).tolist() == want, t
+    many = encoder.encode_all([(t or "").encode() for t in TEXTS * 3])
+    assert [x.tolist() for x in many] == [whole.encode(t or "", add_special_tokens=False).ids for t in TEXTS * 3]
+    rng = random.Random(3)
+    for _ in range(300):
+        t = "".join(rng.choice("abéßİǅ 漢가ᄀ́'’.,!?% 12½<|endoftext|>s\n") for _ in range(rng.randrange(40)))
+        assert encoder.encode(t.encode()).tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
 def test_report(spark):
