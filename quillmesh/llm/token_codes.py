@@ -13,6 +13,7 @@ import os
 import struct
 import uuid
 import zlib
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +138,8 @@ class WordEncoder:
         new, plain, rest = self.new, {}, []
         for w in words:
             stem = w.rstrip(self.MARKS)
-            if stem and stem.decode().isalpha():
+            letters = stem.decode()
+            if letters.isalpha() and letters.lower().isalpha():
                 plain.setdefault(stem, []).append(w)
             else:
                 rest.append(w)
@@ -166,7 +168,7 @@ class WordEncoder:
         split = [t.split() for t in texts]
         if len(self.new) > self.keep // 2:
             self.old, self.new = self.new, {}
-        wanted = set().union(*split) - self.new.keys()
+        wanted = set(filterfalse(self.new.__contains__, chain.from_iterable(split)))
         old, unknown = self.old, []
         for w in wanted:
             known = old.get(w)
