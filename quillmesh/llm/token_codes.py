@@ -111,7 +111,7 @@ class WordEncoder:
 
     MARKS = b".,!?%&$#*;:"
 
-    def __init__(self, path: str | None = None, keep: int = 400_000):
+    def __init__(self, path: str | None = None, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
