@@ -10,8 +10,7 @@ from quillmesh.llm.common import settle, table
 
 
 def _toxicity(spark, docs, sf_dir):
-    # The grammar is fitted on every split: nothing here is scored against held-out labels.
-    grammar = toxicity.train(docs, table(spark, sf_dir, "labels"), split=None)
+    grammar = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, grammar)
 
 
