@@ -32,16 +32,20 @@ ENTITY = "file string, language string, kind string, name string, start_line int
 
 
 def index(spark, root: str, ignored: list[str] = (), include_docs: bool = True, max_file_size: int = 10_485_760,
-          limits: dict | None = None, code_only: bool = False, scan_bytes: int = 262_144) -> tuple[DataFrame, DataFrame]:
+          limits: dict | None = None, code_only: bool = False, scan_bytes: int = 262_144,
+          languages: list[str] | None = None, allow_large: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of a folder: inventory, references by name, code structure, documents."""
-    inventory = G.settle(S.inventory(spark, root, ignored, max_file_size).withColumn("language", S.language("id")))
+    spoken = S.language("id")
+    if languages is not None:
+        spoken = F.when(spoken.isin(*languages), spoken)
+    inventory = G.settle(S.inventory(spark, root, ignored, max_file_size).withColumn("language", spoken))
     plain = inventory.where("type = 'file' and not symlink and skipped is null")
     scan = plain.where("language is not null") if code_only else plain
     if limits:
         cost = M.scan_cost(inventory.where("type = 'file'"), F.col("language").isNotNull(), max_file_size).first().asDict()
         names = inventory.where("type = 'file'").select(F.regexp_extract("id", "[^/]+$", 0).alias("name"), "id")
         cost["scan_ops"] = scan.count() * E.unique_key(names, "name", "id").count()
-        M.enforce_gates(cost, limits, code_only)
+        M.enforce_gates(cost, limits, code_only, allow_large)
     files = G.settle(S.contents(spark, root, scan).join(scan.select("id", "language"), "id"))
     nodes = inventory.select("id", "type", "size_bytes", "symlink", "skipped", "language")
     parent = F.when(F.instr("id", "/") == 0, F.lit(".")).otherwise(F.regexp_replace("id", "/[^/]*$", ""))
@@ -212,7 +216,8 @@ def explain(nodes: DataFrame, links: DataFrame, concept: str, hops: int = 2, cap
     found = match(nodes, concept, **options)
     if not found:
         raise NoEvidenceError(concept)
-    return *_around(nodes, links, [r.id for r in found], hops, cap)[:2], found, _around(nodes, links, [r.id for r in found], hops, cap)[2]
+    n, e, cut = _around(nodes, links, [r.id for r in found], hops, cap)
+    return n, e, found, cut
 
 
 def _around(nodes, links, seeds, hops, cap):

@@ -1,4 +1,4 @@
-"""python -m quillmesh.cli index|merge|status|explain|path|query|visualize"""
+"""python -m quillmesh.cli init|index|merge|status|explain|path|query|visualize"""
 
 import argparse
 import json
@@ -6,18 +6,36 @@ import os
 import sys
 
 
+def _path(api, nodes, links, args, have) -> dict:
+    cost = {"default": have.path_confidence_default, "floor": have.path_confidence_floor, "inferred": have.path_provenance_inferred_factor}
+    return api.path(nodes, links, args.start, args.end, have.path_max_hops, have.path_match_threshold, **cost)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillmesh")
     sub = parser.add_subparsers(dest="command", required=True)
     for name, arguments in {
-        "index": ["root"], "status": [], "explain": ["concept"], "path": ["start", "end"], "query": ["question"], "visualize": ["output"], "merge": ["inputs"],
+        "index": ["root"], "status": [], "explain": ["concept"], "path": ["start", "end"], "query": ["question"], "visualize": ["output"], "merge": ["inputs"], "init": ["file"],
     }.items():
         p = sub.add_parser(name)
         for a in arguments:
             p.add_argument(a, nargs="+" if a == "inputs" else None)
-        p.add_argument("--graph", default="graph.json")
-        p.add_argument("--code-only", action="store_true")
+        p.add_argument("--graph")
+        p.add_argument("--config")
+        for flag in ("--code-only", "--compress", "--versioned", "--force", "--allow-large-repo"):
+            p.add_argument(flag, action="store_true", default=None)
     args = parser.parse_args(argv)
+    from . import config
+
+    try:
+        if args.command == "init":
+            print(config.write_template(args.file, bool(args.force)))
+            return 0
+        policy = "allow" if args.allow_large_repo else None
+        have = config.load(args.config, output=args.graph, code_only=args.code_only, compress=args.compress, versioned=args.versioned, large_repo_policy=policy)
+    except config.ConfigError as e:
+        print(e, file=sys.stderr)
+        return 2
     from pyspark.sql import SparkSession
 
     from . import api
@@ -25,26 +43,30 @@ def main(argv: list[str] | None = None) -> int:
     from .operators.merge import LargeRepoError, dot_lines
     from .sources import graph_json
 
-    if args.command not in ("index", "merge") and not os.path.exists(args.graph):
-        print(f"no graph at {args.graph}", file=sys.stderr)
+    if args.command not in ("index", "merge") and not os.path.exists(have.output):
+        print(f"no graph at {have.output}", file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("quillmesh").getOrCreate()
     try:
         if args.command == "index":
-            nodes, links = api.index(spark, args.root, code_only=args.code_only)
-            graph_json.write_graph(args.graph, nodes, links, {"project_root": os.path.abspath(args.root)})
+            nodes, links = api.index(
+                spark, args.root, config.ignores(have), max_file_size=have.max_file_size, limits=config.limits(have), code_only=have.code_only,
+                scan_bytes=have.max_reference_scan_bytes, languages=have.languages, allow_large=have.large_repo_policy == "allow",
+            )
+            target = graph_json.next_snapshot(os.path.dirname(os.path.abspath(have.output)), have.compress) if have.versioned else have.output
+            print(graph_json.write_graph(target, nodes, links, {"project_root": os.path.abspath(args.root)}, have.compress))
         elif args.command == "merge":
-            api.merge(spark, args.inputs, args.graph)
+            api.merge(spark, args.inputs, have.output)
         else:
-            nodes, links, _ = graph_json.read_graph(spark, args.graph)
+            nodes, links, _ = graph_json.read_graph(spark, have.output)
             if args.command == "status":
                 stats(nodes, links).show(40, False)
             elif args.command == "explain":
-                print([r.id for r in api.explain(nodes, links, args.concept)[2]])
+                print([r.id for r in api.explain(nodes, links, args.concept, have.explain_hops, have.explain_node_cap, threshold=have.explain_match_threshold, top_n=have.explain_top_n)[2]])
             elif args.command == "path":
-                print(json.dumps(api.path(nodes, links, args.start, args.end), indent=2))
+                print(json.dumps(_path(api, nodes, links, args, have), indent=2))
             elif args.command == "query":
-                print([r.id for r in api.query(nodes, links, args.question)[2]])
+                print([r.id for r in api.query(nodes, links, args.question, have.query_k, have.query_hops, have.query_match_threshold, have.query_node_cap)[2]])
             else:
                 lines = [r.line for r in dot_lines(nodes, links).orderBy("section", "line").toLocalIterator()]
                 graph_json.write_atomic(args.output, "\n".join(['digraph G {', '  rankdir="LR";', *lines, "}"]) + "\n")
