@@ -10,8 +10,8 @@
    polynomial hashes: a binary search finds the common extension, the next byte decides. Adjacent
    common extensions, verified byte by byte, give the classes of equal windows at each offset.
 
-Groups of over ``hot`` contexts are not held in a task: their windows go out as 128-bit hashes and
-are counted by Spark, which is exact up to that hash and linear.
+Groups of over ``hot`` contexts are not held in a task: their windows go out as 128-bit hashes, each
+from the anchor it names alone, and are counted by Spark, which is exact up to that hash and linear.
 """
 
 import hashlib
@@ -81,6 +81,15 @@ def anchors(data: np.ndarray, spans: list[tuple[int, int]], powers, length: int)
     return at, h[at]
 
 
+def own_windows(context: bytes, before: int, powers, length: int) -> np.ndarray:
+    """Of the windows through the anchor at ``before``, those that name it their smallest gram, as
+    bytes before the anchor. So a window that holds several anchors belongs to one of them."""
+    h = gram_hashes(np.frombuffer(context, np.uint8), powers)
+    low = np.uint64((1 << 24) - 1)
+    least = _sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
+    return before - np.flatnonzero((least & low) == before)
+
+
 def _pieces(texts: list[bytes], length: int, piece: int):
     """(document, offset of the piece in it, bytes) in pieces of about equal size; the pieces of a
     long document overlap by ``length`` - 1 bytes, so each window is in one of them."""
@@ -368,6 +377,8 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 30_000) -> D
     names = ["w1", "w2", "k", "k2", "lo", "hi"]
 
     def compare(batches):
+        powers = _powers(2 * length)
+
         def intervals(t, take):
             h, k, k2, off, before, context = t
             if take < 2:
@@ -382,7 +393,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 30_000) -> D
             h, k, k2, off, before, context = t
             for i in range(n):
                 c, b = context[i], int(before[i])
-                d = range(max(0, length - (len(c) - b)), min(b, reach) + 1)
+                d = own_windows(c, b, powers, length)
                 digest = np.array([divmod(xxhash.xxh3_128_intdigest(c[b - x : b - x + length]), 1 << 64) for x in d], np.uint64).reshape(-1, 2)
                 lo = off[i] - np.array(d, np.int64)
                 yield pa.record_batch(

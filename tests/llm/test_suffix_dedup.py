@@ -58,6 +58,29 @@ def test_hot_groups(spark):
     assert run(spark, rows, 100, hot=3) == brute(rows, 100)
 
 
+def test_windows_through_several_hot_anchors(spark):
+    # The passages are shorter than a window, so nothing repeats; some hold several hot anchors.
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [*[noise(190) for _ in range(5)], "=-" * 70]
+    rows = [(i, noise(300) + passages[i % 6] + noise(300)) for i in range(120)]
+    powers = S._powers(120_000)
+    _, _, h, _ = S.find_anchors([t.encode() for _, t in rows], powers, 200)
+    assert sum(n > 3 for n in Counter(h.tolist()).values()) > 6
+    # A document that holds a longer stretch of another loses it, and no more.
+    longer = [*rows, (300, noise(40) + rows[0][1][250:700] + noise(40))]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(batch)
+    spark.conf.set(batch, 4)  # a group that ends inside a batch is not taken for hot
+    try:
+        for case, gone in ((rows, 0), (longer, 900)):
+            want = brute(case, 200)
+            assert sum(r[2] for r in want) == gone
+            assert run(spark, case, 200, hot=3) == want
+    finally:
+        spark.conf.set(batch, old)
+
+
 def test_long_texts_in_pieces():
     rng = random.Random(4)
     text = bytes(rng.randrange(97, 101) for _ in range(5000))
