@@ -41,7 +41,8 @@ def op8_suffix_dedup(spark, sf_dir):
 
 def op9_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return lm.score_documents(docs, lm.train(docs))
+    prepared = lm.prepare(docs)
+    return lm.score_documents(docs, lm.train(docs, prepared=prepared), prepared=prepared)
 
 
 def op10_decontaminate(spark, sf_dir):
