@@ -2,10 +2,14 @@
 
 A seed is five words read through a fixed mask of six places, so a substituted word under the
 mask's hole does no harm. With the two masks every 13 aligned words of which 11 agree share a
-seed. Test and training seeds are joined by hash; a hit fixes an alignment of item and document,
+seed. Shorter items get more masks, read through the whole item: one at least for each pattern of
+substitutions that the two miss, and the item itself where it has under five words. Test and training seeds are joined by hash; a hit fixes an alignment of item and document,
 and the alignment is verified on the words themselves.
 """
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +26,38 @@ def tokens(text):
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def seeds(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """keys, at (0-based place), seed: the hashes of both masks at every place."""
+def extra_masks(width: int, similarity: float) -> list[tuple[int, ...]]:
+    """Masks over ``width`` words, so that with MASKS no pattern of as many substitutions as
+    ``similarity`` allows is missed. Each has five words, or all that the patterns leave."""
+    miss = width - ceil(similarity * width - 1e-9)
+    seen = [{a + o for o in mask} for mask in MASKS for a in range(width - SPAN + 1)]
+    lost = [set(p) for p in combinations(range(width), miss) if not any(s.isdisjoint(p) for s in seen)]
+    out = []
+    while lost:
+        gap = set()
+        for p in lost:
+            if width - len(gap | p) >= min(width - miss, 5):
+                gap |= p
+        out.append(tuple(sorted(set(range(width)) - gap)))
+        lost = [p for p in lost if not p <= gap]
+    return out
+
+
+def seeds(rows: DataFrame, keys: list[str], words: str, masks) -> DataFrame:
+    """keys, at (0-based place), seed: the hashes of all masks at every place where their words
+    stand. ``masks``: (number, words that it spans, places)."""
     hashed = rows.select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("_h"))
-    n = F.size("_h") - (SPAN - 1)
-    # Six shifted views side by side: one row a place, hashed in generated code.
-    views = F.arrays_zip(*[F.slice("_h", i + 1, F.greatest(n, F.lit(0))).alias(f"h{i}") for i in range(SPAN)])
+    least, most = min(span for _, span, _ in masks), max(span for _, span, _ in masks)
+    n = F.size("_h") - (least - 1)
+    # Shifted views side by side: one row a place, hashed in generated code; null beyond the end.
+    views = F.arrays_zip(*[F.slice("_h", i + 1, F.greatest(n, F.lit(0))).alias(f"h{i}") for i in range(most)])
     placed = hashed.select(*keys, F.posexplode(views).alias("at", "v"))
-    masks = F.array(
-        *[F.xxhash64(F.lit(m), *[F.col(f"v.h{i}") for i in mask]) for m, mask in enumerate(MASKS)]
-    )
-    return placed.select(*keys, "at", F.explode(masks).alias("seed"))
+    hashes = []
+    for m, span, mask in masks:
+        h = F.xxhash64(F.lit(m), *[F.col(f"v.h{i}") for i in mask])
+        hashes.append(h if span == least else F.when(F.col(f"v.h{span - 1}").isNotNull(), h))
+    found = placed.select(*keys, "at", F.explode(F.array(*hashes)).alias("seed"))
+    return found if least == most else found.where("seed is not null")
 
 
 def contamination(
@@ -43,18 +68,28 @@ def contamination(
 
     An overlap is a window of min(``window``, words of the item) consecutive words of the item,
     aligned without gaps to words of the document, of which a share of at least ``similarity``
-    agrees, on an alignment that a seed hits. Windows of 13 words at 0.8 are never missed; items of
-    under six words hold no seed and match nothing. Null and empty texts match nothing. Rows that
+    agrees. None is missed: to an item of under ``window`` words all of it must be aligned, and items
+    of under five words match verbatim at 0.8. Null and empty texts match nothing. Rows that
     share an id are told apart by id and text. Other columns are ignored.
     """
     items = settle(
-        benchmark.where("text is not null").select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") >= SPAN).distinct()
+        benchmark.where("text is not null").select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     )
-    index = settle(seeds(items, ["item_id"], "words").withColumnRenamed("at", "q").distinct())
+    width = F.least(F.lit(window), F.size("words"))
+    widths = sorted(r[0] for r in items.select(width).distinct().collect())  # at most ``window``
+    numbered, by_width = [(m, SPAN, mask) for m, mask in enumerate(MASKS)], {}
+    for w in widths:
+        by_width[w] = [(len(numbered) + i, w, mask) for i, mask in enumerate(extra_masks(w, similarity))]
+        numbered += by_width[w]
+    index = seeds(items, ["item_id"], "words", numbered[: len(MASKS)])
+    for w in widths:
+        if by_width[w]:
+            index = index.unionByName(seeds(items.where(width == w), ["item_id"], "words", by_width[w]))
+    index = settle(index.withColumnRenamed("at", "q").distinct())
     if index.count() <= broadcast_seeds:
         index = F.broadcast(index)
     base = docs.where("text is not null").select("doc_id", "text")
-    placed = seeds(base.select(*row_key("doc_id", "text"), tokens(F.col("text")).alias("words")), ["k1", "k2"], "words")
+    placed = seeds(base.select(*row_key("doc_id", "text"), tokens(F.col("text")).alias("words")), ["k1", "k2"], "words", numbered)
     hits = placed.join(index, "seed").select("k1", "k2", "item_id", (F.col("at") - F.col("q")).alias("shift")).distinct()
     of_doc = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits"))
     of_doc = settle(of_doc)

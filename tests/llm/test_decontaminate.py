@@ -72,3 +72,35 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     assert D.report(none, bench).count() == 0 and D.report(some, bench).count() == 0
     assert D.clean(some, bench).count() == 1
+
+
+def all_alignments(docs, items, window=13):
+    """As ``brute``, without seeds and for items of any length."""
+    out = set()
+    for i, t in docs:
+        d = toks(t)
+        for k, u in items:
+            w = toks(u)
+            width = min(window, len(w))
+            found = [sum(w[a + j] == d[b + j] for j in range(width)) for a in range(len(w) - width + 1) for b in range(len(d) - width + 1)]
+            if w and max(found, default=0) >= 0.8 * width - 1e-9:
+                out.add((i, k, max(found), width))
+    return out
+
+
+def test_short_items(spark):
+    rng = random.Random(2)
+    items = [(m, " ".join(f"i{m}w{j}" for j in range(m))) for m in range(1, 16)]
+    docs = []
+    for m, t in items:
+        for miss in range(4):
+            for gone in list(combinations(range(min(m, 13)), miss)):
+                w = ["zz" if j in gone else x for j, x in enumerate(t.split())]
+                docs.append((len(docs), " ".join(["a"] * rng.randrange(3) + w + ["b"] * rng.randrange(3))))
+        docs.append((len(docs), " ".join(t.split()[1:])))
+    want = all_alignments(docs, items)
+    assert {w for *_, w in want} == set(range(1, 14))
+    dd, bb = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.overlap, r.window) for r in D.report(dd, bb).collect()}
+    assert got == want
+    assert {r.doc_id for r in D.clean(dd, bb).collect()} == {i for i, _ in docs} - {i for i, *_ in want}
