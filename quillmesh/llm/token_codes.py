@@ -13,10 +13,10 @@ import os
 import struct
 import uuid
 import zlib
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,84 +101,240 @@ class Codes:
 # --- encoding texts -------------------------------------------------------------------------
 
 
-class WordEncoder:
-    """Encodes by white-space separated words, which this tokenizer never joins.
+def _byte_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of every byte its kind (0 white space, 1 ASCII letter, 2 plain mark, 4 other) and its lower case."""
+    kind, lower = np.full(256, 4, np.uint8), np.arange(256, dtype=np.uint8)
+    kind[[32, *range(9, 14)]] = 0
+    kind[[*range(65, 91), *range(97, 123)]] = 1
+    kind[list(b".,!?%&$#*;:")] = 2
+    lower[65:91] += 32
+    return kind, lower
+
+
+class WordStore:
+    """Words met lately and their ids, in flat arrays in order of a 64-bit hash; a hit is verified on
+    the bytes. Beyond ``limit`` bytes only words that were met again stay, or none."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.powers = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.text, self.ids = np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, "<u2")
+        self.at, self.size, self.first, self.count = (np.empty(0, np.int32) for _ in range(4))
+        self.used = np.empty(0, bool)
+
+    def hash(self, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Of words that lie end to end; words beyond the table of powers wrap round."""
+        size = np.diff(bounds)
+        place = np.arange(len(text), dtype=np.int32) - np.repeat(bounds[:-1], size)
+        sums = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum((text + np.uint64(1)) * self.powers[place & 0xFFF], out=sums[1:])
+        h = sums[bounds[1:]] - sums[bounds[:-1]]
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
+    def find(self, hashes: np.ndarray, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Place of each word here, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        size = np.diff(bounds)
+        likely = np.flatnonzero((self.hashes[place] == hashes) & (self.size[place] == size))
+        here, n = place[likely], size[likely]
+        step = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n)
+        differ = self.text[np.repeat(self.at[here], n) + step] != text[np.repeat(bounds[:-1][likely], n) + step]
+        good = np.ones(len(likely), bool)
+        good[np.repeat(np.arange(len(likely)), n)[differ]] = False
+        found = np.full(len(hashes), -1)
+        found[likely[good]] = here[good]
+        self.used[here[good]] = True
+        return found
+
+    def add(self, hashes, text, bounds, ids, counts) -> None:
+        """Words that are not here; ``text`` and ``ids`` lie end to end."""
+        if self.text.nbytes + self.ids.nbytes + 26 * len(self.hashes) > self.limit:
+            self._shrink()
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        put = lambda old, new: np.insert(old, place, new[order])
+        self.at, self.size = put(self.at, bounds[:-1] + np.int32(len(self.text))), put(self.size, np.diff(bounds))
+        self.first, self.count = put(self.first, (np.cumsum(counts) - counts + len(self.ids)).astype(np.int32)), put(self.count, counts.astype(np.int32))
+        self.used, self.hashes = put(self.used, np.zeros(len(hashes), bool)), put(self.hashes, hashes)
+        self.text, self.ids = np.concatenate([self.text, text]), np.concatenate([self.ids, ids.astype("<u2")])
+
+    def _shrink(self) -> None:
+        if self.used.mean() > 0.5:
+            return self.clear()
+        for name in ("hashes", "at", "size", "first", "count"):
+            setattr(self, name, getattr(self, name)[self.used])
+        self.text, self.ids = _runs(self.text, self.at, self.size), _runs(self.ids, self.first, self.count)
+        self.at, self.first = ((np.cumsum(n) - n).astype(np.int32) for n in (self.size, self.count))
+        self.used = np.zeros(len(self.hashes), bool)
+
+
+def _runs(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs flat[first : first + count] end to end."""
+    total = np.cumsum(count, dtype=np.int32)
+    at = np.repeat(first - (total - count), count)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
 
-    Words met lately are kept in two generations of bounded size. New words that are letters and
-    then ASCII marks are encoded many at a time: letters are one pre-token, whose last id alone ends
-    a word, so the ids fall apart again at those; anything else is encoded by itself.
-    """
 
-    MARKS = b".,!?%&$#*;:"
+class WordEncoder:
+    """Encodes by words, each distinct word of a slice of text once.
+
+    This tokenizer never joins what white space divides, nor letters and marks, so texts are cut at
+    both. Runs of Latin letters and runs of plain marks are single pre-tokens: they are put in lower
+    case here and go to the library's model without its normalizer and pattern; their last id alone
+    ends a word, so the ids of many words fall apart again at those. All other runs go through the
+    whole tokenizer one by one. Memory is bounded by ``slice_bytes``, the longest word and
+    ``store_bytes`` of words met lately.
+    """
 
-    def __init__(self, path: str | None = None, keep: int = 1_000_000):
+    def __init__(self, path: str | None = None, slice_bytes: int = 6 << 20, store_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.keep, self.new, self.old = Tokenizer.from_file(path), keep, {}, {}
+        self.tokenizer, self.plain, self.slice_bytes = Tokenizer.from_file(path), Tokenizer.from_file(path), slice_bytes
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.kind, self.lower = _byte_kinds()
+        self.store = WordStore(store_bytes)
 
     @classmethod
     def of_worker(cls, path: str | None) -> "WordEncoder":
-        """One encoder for each Python worker: loading and warming up cost more than a task."""
+        """One encoder for each Python worker: loading costs more than a small task."""
         store = worker_store()
         return store.get(("encoder", path)) or store.setdefault(("encoder", path), cls(path))
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _add(self, words: list[bytes]) -> None:
-        """Put words that are in neither generation into the new one."""
-        new, plain, rest = self.new, {}, []
-        for w in words:
-            stem = w.rstrip(self.MARKS)
-            letters = stem.decode()
-            if letters.isalpha() and letters.lower().isalpha():
-                plain.setdefault(stem, []).append(w)
-            else:
-                rest.append(w)
-        stems = [s for s in plain if s not in new]
-        for k in range(0, len(stems), 2048):
-            some = stems[k : k + 2048]
-            ids = self._ids([b" ".join(some).decode()])[0]
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                new.update(zip(some, (data[a:b] for a, b in zip(at, at[1:]))))
-            else:  # a letter that is no letter in lower case
-                new.update(zip(some, (x.tobytes() for x in self._ids([s.decode() for s in some]))))
-        marks = {w[len(s) :] for s, ws in plain.items() for w in ws} - new.keys() - {b""}
-        rest += marks
-        for k in range(0, len(rest), 4096):
-            some = rest[k : k + 4096]
-            new.update(zip(some, (x.tobytes() for x in self._ids([w.decode() for w in some]))))
-        for stem, ws in plain.items():
-            for w in ws:
-                if len(w) > len(stem):
-                    new[w] = new[stem] + new[w[len(stem) :]]
+    def _one_by_one(self, words: list[bytes]) -> list[list[int]]:
+        found = []
+        for k in range(0, len(words), 4096):
+            some = [w.decode("utf-8", "replace") for w in words[k : k + 4096]]
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return found
+
+    def _encode_plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of distinct lower-case words."""
+        ids, counts = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for k in range(0, len(words), 8192):
+            some = words.slice(k, 8192)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), b" ")[0].as_py().decode()
+            found = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            if len(cuts) != len(some) or (len(cuts) and cuts[-1] != len(found)):
+                lists = self._one_by_one(some.to_pylist())
+                found, cuts = np.array([i for x in lists for i in x], "<u4"), np.cumsum([len(x) for x in lists])
+            ids.append(found)
+            counts.append(np.diff(cuts, prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _plain_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word, where they begin), by the store where it can."""
+        if not len(words):
+            return np.empty(0, "<u4"), np.empty(0, np.int32), np.empty(0, np.int32)
+        store, (_, offsets, data) = self.store, words.buffers()
+        bounds = np.frombuffer(offsets, np.int32, len(words) + 1)
+        text = np.frombuffer(data, np.uint8, int(bounds[-1])) if bounds[-1] else np.empty(0, np.uint8)
+        hashes = store.hash(text, bounds)
+        place = store.find(hashes, text, bounds)
+        old, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        counts = np.empty(len(words), np.int32)
+        counts[old] = store.count[place[old]]
+        ids = _runs(store.ids, store.first[place[old]], counts[old]).astype("<u4")
+        fresh, counts[new] = self._encode_plain(words.take(pa.array(new)))
+        # Ids lie in the order of ``old``, then of ``new``; each word's begin there.
+        order = np.concatenate([old, new])
+        begin = np.empty(len(words), np.int32)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        if len(new):
+            size = np.diff(bounds)[new]
+            own = np.r_[np.int32(0), np.cumsum(size, dtype=np.int32)]
+            store.add(hashes[new], _runs(text, bounds[:-1][new], size), own, fresh, counts[new])
+        return np.concatenate([ids, fresh]), counts, begin
+
+    def _slice(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text in them)."""
+        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        kind, lower = self.kind[data], self.lower[data]
+        # Two bytes from C3 80 to C3 BF are a Latin letter, but for the signs of multiplication and division.
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        after = data[lead + 1]
+        lead = lead[(after & 0xC0 == 0x80) & (after != 0x97) & (after != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        upper = lead[data[lead + 1] < 0x9F] + 1
+        lower[upper] += 32
+        before = np.r_[np.uint8(0), kind[:-1]]
+        divided = (before ^ kind) == 3  # a letter beside a mark
+        starts = np.flatnonzero((kind != 0) & ((before == 0) | divided)).astype(np.int32)
+        stops = np.flatnonzero((before != 0) & ((kind == 0) | divided)).astype(np.int32)
+        own = kind != 0
+        rest = np.unique(np.searchsorted(starts, np.flatnonzero(kind == 4), "right") - 1)
+        plain = np.ones(len(starts), bool)
+        plain[rest] = False
+        if len(rest):
+            edge = np.zeros(len(data) + 1, np.int8)
+            edge[starts[rest]] = 1
+            edge[stops[rest]] -= 1
+            own &= np.cumsum(edge[:-1], dtype=np.int8) == 0
+        bounds = np.zeros(int(plain.sum()) + 1, np.int32)
+        np.cumsum((stops - starts)[plain], out=bounds[1:])
+        words = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(lower[own])]).dictionary_encode()
+        ids, counts, begin = self._plain_ids(words.dictionary)
+        index = np.empty(len(starts), np.int32)
+        index[plain] = words.indices.to_numpy(zero_copy_only=False)
+        if len(rest):
+            blob, place = data.tobytes(), {}
+            index[rest] = [place.setdefault(blob[a:b], len(place) + len(counts)) for a, b in zip(starts[rest].tolist(), stops[rest].tolist())]
+            lists = self._one_by_one(list(place))
+            more = np.array([len(x) for x in lists], np.int32)
+            begin = np.concatenate([begin, (len(ids) + np.cumsum(more) - more).astype(np.int32)])
+            ids = np.concatenate([ids, np.array([i for x in lists for i in x], "<u4")])
+            counts = np.concatenate([counts, more])
+        many = counts[index]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return _runs(ids, begin[index], many), np.r_[0, np.cumsum(many)][np.searchsorted(starts, ends)]
+
+    def _parts(self, texts: list[bytes]):
+        """(text number, bytes) of at most about ``slice_bytes``, cut at white space."""
+        for k, t in enumerate(texts):
+            a = 0
+            while True:
+                b = a + self.slice_bytes
+                while b < len(t) and self.kind[t[b]]:
+                    b += 1
+                yield k, t[a:b]
+                a = b
+                if a >= len(t):
+                    break
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text; new words of all texts are encoded together."""
-        split = [t.split() for t in texts]
-        if len(self.new) > self.keep // 2:
-            self.old, self.new = self.new, {}
-        wanted = set(filterfalse(self.new.__contains__, chain.from_iterable(split)))
-        old, unknown = self.old, []
-        for w in wanted:
-            known = old.get(w)
-            if known is None:
-                unknown.append(w)
-            else:
-                self.new[w] = known
-        self._add(unknown)
-        find = self.new.__getitem__
-        return [np.frombuffer(b"".join(map(find, words)), "<u4") for words in split]
+        """Ids of each text."""
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        held, size = [], 0
+
+        def done():
+            ids, ends = self._slice([t for _, t in held])
+            for (k, _), a, b in zip(held, np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+                found[k].append(ids[a:b])
+
+        for k, part in self._parts(texts):
+            if held and size + len(part) > self.slice_bytes:
+                done()
+                held, size = [], 0
+            held.append((k, part))
+            size += len(part)
+        if held:
+            done()
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in found]
 
     def encode(self, text: bytes) -> np.ndarray:
         return self.encode_all([text])[0]

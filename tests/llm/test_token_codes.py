@@ -25,7 +25,7 @@ TEXTS = ["Hello WORLD's é", None, "", " \n\t ", "a b　c", "<|endoftext|>x <|s
 
 
 def test_words_encode_as_texts():
-    encoder = T.WordEncoder(None, keep=30)
+    encoder = T.WordEncoder(None, slice_bytes=40, store_bytes=2000)
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for t in TEXTS:
         want = whole.encode(t or "", add_special_tokens=False).ids
