@@ -1,12 +1,13 @@
 """Helpers that several operators share."""
 
+import re
 import sys
 import tempfile
 import types
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than space and 0x09-0x0D.
@@ -19,11 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` now and cut its lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a session on this machine
+    alone gets one of its own; on a cluster there is none that all executors see."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmesh-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmesh-"))
+    return sc.getCheckpointDir()
 
 
 def id_bucket(column, modulus: int):
@@ -56,6 +66,19 @@ def fit_in_task(rows: DataFrame, learn):
     return cloudpickle.loads(found[0].model) if found else learn(schema.empty_table())
 
 
+def bounded_sample(rows: DataFrame, max_rows: int, max_bytes: int, salt: int) -> DataFrame:
+    """rows (doc_id, text, more) to at most ``max_rows`` of them and ``max_bytes`` of text: distinct
+    (doc_id, text), in order of a hash of the id, the same in every run. The bounds are applied to
+    narrow rows; the texts of those that are chosen follow by a broadcast join."""
+    place = ("_hash", "doc_id", "_text")
+    keyed = rows.withColumns({"_hash": F.xxhash64("doc_id", F.lit(salt)), "_text": F.xxhash64("text"), "_size": F.octet_length("text").cast("long")})
+    first = keyed.select(*place, "_size").distinct().orderBy(*place).limit(max_rows)
+    so_far = F.sum("_size").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("_sum", so_far).where(F.col("_sum") <= max_bytes).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"))
+    mine = keyed.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left_semi")
+    return mine.dropDuplicates(["doc_id", "_text"]).select(*rows.columns)
+
+
 def worker_store() -> dict:
     """A dict that lives as long as the Python worker, over all tasks that reuse it."""
     return sys.modules.setdefault("_quillmesh_worker", types.ModuleType("_quillmesh_worker")).__dict__

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, worker_store
+from .common import shared_folder, worker_store
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -111,13 +111,43 @@ def _byte_kinds() -> tuple[np.ndarray, np.ndarray]:
     return kind, lower
 
 
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(words, number of the text of each): runs of bytes other than space and 0x09-0x0D."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    own = (data != 32) & ((data < 9) | (data > 13))
+    before = np.r_[False, own[:-1]]
+    starts, stops = np.flatnonzero(own & ~before), np.flatnonzero(before & ~own)
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(stops - starts, out=bounds[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[own])]).cast(pa.binary())
+    return words, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+
+
+POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+
+
+def _hashes(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of the words that lie end to end; places beyond the table wrap round."""
+    size = np.diff(bounds)
+    place = np.arange(len(text), dtype=np.int32) - np.repeat(bounds[:-1], size)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text + np.uint64(1)) * POWERS[place & 0xFFF], out=sums[1:])
+    h = sums[bounds[1:]] - sums[bounds[:-1]]
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    bounds = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
+    h = _hashes(np.frombuffer(words.buffers()[2], np.uint8, int(bounds[-1])), bounds)
+    return h ^ (h >> np.uint64(32))
+
+
 class WordStore:
     """Words met lately and their ids, in flat arrays in order of a 64-bit hash; a hit is verified on
     the bytes. Beyond ``limit`` bytes only words that were met again stay, or none."""
 
     def __init__(self, limit: int):
         self.limit = limit
-        self.powers = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
         self.clear()
 
     def clear(self) -> None:
@@ -125,15 +155,6 @@ class WordStore:
         self.at, self.size, self.first, self.count = (np.empty(0, np.int32) for _ in range(4))
         self.used = np.empty(0, bool)
 
-    def hash(self, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Of words that lie end to end; words beyond the table of powers wrap round."""
-        size = np.diff(bounds)
-        place = np.arange(len(text), dtype=np.int32) - np.repeat(bounds[:-1], size)
-        sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum((text + np.uint64(1)) * self.powers[place & 0xFFF], out=sums[1:])
-        h = sums[bounds[1:]] - sums[bounds[:-1]]
-        return (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-
     def find(self, hashes: np.ndarray, text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Place of each word here, or -1."""
         if not len(self.hashes):
@@ -244,7 +265,7 @@ class WordEncoder:
         store, (_, offsets, data) = self.store, words.buffers()
         bounds = np.frombuffer(offsets, np.int32, len(words) + 1)
         text = np.frombuffer(data, np.uint8, int(bounds[-1])) if bounds[-1] else np.empty(0, np.uint8)
-        hashes = store.hash(text, bounds)
+        hashes = _hashes(text, bounds)
         place = store.find(hashes, text, bounds)
         old, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
         counts = np.empty(len(words), np.int32)
@@ -455,7 +476,6 @@ def code_report(docs: DataFrame, path: str | None = None, **options) -> DataFram
     ignored."""
     spark = docs.sparkSession
     if path is None:
-        settle(spark.range(0))  # makes sure of the shared folder
-        path = f"{spark.sparkContext.getCheckpointDir()}/token_codes_{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/token_codes_{uuid.uuid4().hex}"
     write_codes(docs, path, **options)
     return read_codes(spark, path)
