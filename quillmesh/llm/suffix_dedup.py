@@ -18,14 +18,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
 GRAM = 64
-PIECE = 1 << 21
+PIECE = 1 << 19  # bytes that are hashed at a time
+SOME = 4 << 20  # bytes of texts that a task holds as objects at a time
+ANCHORS = 1 << 20  # anchors among which repeats are settled before the shuffle
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 OFFSET_BITS = 36
@@ -255,7 +258,19 @@ def repeated_windows(group: np.ndarray, contexts: list[bytes], before: np.ndarra
 # --- the operator ---------------------------------------------------------------------------
 
 
-def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 30_000) -> DataFrame:
+def _some(batch):
+    """(k, k2, texts) of the rows of a batch, about SOME bytes of text at a time."""
+    keys, twos = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+    text = batch.column(2)
+    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(keys):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SOME, "right")))
+        yield keys[a:b], twos[a:b], text.slice(a, b - a).to_pylist()
+        a = b
+
+
+def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 16_384) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the bytes).
 
     Matches never cross documents; texts shorter than ``length`` bytes lose nothing. Null texts are
@@ -271,39 +286,42 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 30_000) -> D
 
     def scan(batches):
         powers = _powers(PIECE + 4 * length)
-        for batch in batches:
-            keys, twos = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            texts = batch.column(2).to_pylist()
-            doc, off, h, c = find_anchors(texts, powers, length)
-            if not len(doc):
-                continue
-            # What repeats inside the batch is settled here; one row of each such context goes on.
+
+        def settled(parts):
+            """What repeats among these is settled here; one row of each such context goes on."""
+            h, c, k, meta = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((c, h))
             same = np.zeros(len(order), bool)
             same[1:] = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
             many = same.copy()
             many[:-1] |= same[1:]
-            done, multi = np.empty(len(order), bool), np.empty(len(order), bool)
-            done[order], multi[order] = same, many
-            meta = (twos[doc] << (OFFSET_BITS + 2)) | (multi.astype(np.int64) << (OFFSET_BITS + 1)) | (done.astype(np.int64) << OFFSET_BITS) | off
-            yield pa.record_batch(
-                [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[doc]), pa.array(meta)], names=["h", "c", "k", "meta"]
-            )
+            flags = np.empty(len(order), np.int64)
+            flags[order] = many.astype(np.int64) << 1 | same
+            return pa.record_batch([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), k, meta | flags << OFFSET_BITS)], names=["h", "c", "k", "meta"])
 
-    offset, one = np.int64((1 << OFFSET_BITS) - 1), np.int64(1)
+        held, size = [], 0
+        for batch in batches:
+            for keys, twos, texts in _some(batch):
+                doc, off, h, c = find_anchors(texts, powers, length)
+                if len(doc):
+                    held.append((h, c, keys[doc], twos[doc] << (OFFSET_BITS + 2) | off))
+                    size += len(doc)
+                if size >= ANCHORS:
+                    yield settled(held)
+                    held, size = [], 0
+        if held:
+            yield settled(held)
+
+    one = np.int64(1)
 
     def meet(batches):
-        """Rows sorted by done, h, c. Out: h, k, k2, off, kind: 0 repeats whole, 1 to be compared,
-        2 both (the one that stands for its class)."""
+        """Rows sorted by done, h, c. Out: h, k, meta (k2, kind, offset in one long, which halves what is
+        settled). Kinds: 0 repeats whole, 1 to be compared, 2 both (the one that stands for its class)."""
 
         def rows(h, c, k, meta, kind):
-            return pa.record_batch(
-                [pa.array(h), pa.array(k), pa.array(meta >> (OFFSET_BITS + 2)), pa.array(meta & offset), pa.array(kind.astype(np.int8))],
-                names=["h", "k", "k2", "off", "kind"],
-            )
+            packed = meta & ~np.int64(3 << OFFSET_BITS) | kind.astype(np.int64) << OFFSET_BITS
+            return pa.record_batch([pa.array(h, mask=kind == 0), pa.array(k), pa.array(packed)], names=["h", "k", "meta"])
 
-        held = None  # rows of the last, open group: at most one of a class, no class twice
-        held_kind = None
         empty = tuple(np.empty(0, np.int64) for _ in range(4))
 
         def settle_groups(h, c, k, meta):
@@ -355,24 +373,31 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 30_000) -> D
             yield rows(*(x[use] for x in (h, c, k, meta)), kind[use])
 
     def cut_contexts(batches):
+        def contexts(parts):
+            h, k, k2, off, before = (np.concatenate(x) for x in list(zip(*parts))[:5])
+            cut = [c for p in parts for c in p[5]]
+            arrays = [pa.array(h), pa.array(k), pa.array(k2), pa.array(off), pa.array(before.astype(np.int32)), pa.array(cut, pa.binary())]
+            return pa.record_batch(arrays, names=["h", "k", "k2", "off", "before", "context"])
+
+        held, size = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                text = row["text"]
-                at = row["wanted"]
-                off = [w["off"] for w in at]
-                lows = [max(0, o - reach) for o in off]
-                n = len(at)
-                yield pa.record_batch(
-                    [
-                        pa.array([w["h"] for w in at], pa.int64()),
-                        pa.array([row["k"]] * n, pa.int64()),
-                        pa.array([row["k2"]] * n, pa.int64()),
-                        pa.array(off, pa.int64()),
-                        pa.array([o - a for o, a in zip(off, lows)], pa.int32()),
-                        pa.array([text[a : o + length] for o, a in zip(off, lows)], pa.binary()),
-                    ],
-                    names=["h", "k", "k2", "off", "before", "context"],
-                )
+            wanted = batch.column(3)
+            ends = wanted.offsets.to_numpy()
+            off, h = (x.to_numpy(zero_copy_only=False) for x in wanted.values.flatten())
+            k, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for r, text in enumerate(batch.column(2)):
+                text = text.as_py()
+                for a in range(int(ends[r]), int(ends[r + 1]), 4096):
+                    b = min(a + 4096, int(ends[r + 1]))
+                    lows = np.maximum(off[a:b] - reach, 0)
+                    cut = [text[x : y + length] for x, y in zip(lows.tolist(), off[a:b].tolist())]
+                    held.append((h[a:b], np.full(b - a, k[r]), np.full(b - a, k2[r]), off[a:b], off[a:b] - lows, cut))
+                    size += b - a
+                    if size >= 4096:
+                        yield contexts(held)
+                        held, size = [], 0
+        if held:
+            yield contexts(held)
 
     names = ["w1", "w2", "k", "k2", "lo", "hi"]
 
@@ -380,14 +405,20 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 30_000) -> D
         powers = _powers(2 * length)
 
         def intervals(t, take):
-            h, k, k2, off, before, context = t
+            """Of whole groups, some thousand rows at a time."""
             if take < 2:
-                return None
-            row, lo, hi = repeated_windows(h[:take], context[:take], before[:take], length)
-            return pa.record_batch(
-                [pa.array(k[row]), pa.nulls(len(row), pa.int64()), pa.array(k[row]), pa.array(k2[row]), pa.array(off[row] + lo), pa.array(off[row] + hi)],
-                names=names,
-            )
+                return
+            ends = np.flatnonzero(np.r_[t[0][1:take] != t[0][: take - 1], True]) + 1
+            a = 0
+            while a < take:
+                b = int(ends[np.minimum(np.searchsorted(ends, a + 4096), len(ends) - 1)])
+                h, k, k2, off, before, context = (x[a:b] for x in t)
+                a = b
+                row, lo, hi = repeated_windows(h, context, before, length)
+                yield pa.record_batch(
+                    [pa.array(k[row]), pa.nulls(len(row), pa.int64()), pa.array(k[row]), pa.array(k2[row]), pa.array(off[row] + lo), pa.array(off[row] + hi)],
+                    names=names,
+                )
 
         def windows(t, n):
             h, k, k2, off, before, context = t
@@ -421,18 +452,14 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 30_000) -> D
                 hot_h = None
             cut = int(np.searchsorted(t[0], t[0][-1], "left"))
             if cut >= 4096 or len(t[0]) - cut > hot:
-                found = intervals(t, cut)
-                if found is not None:
-                    yield found
+                yield from intervals(t, cut)
                 t = [x[cut:] for x in t]
             if len(t[0]) > hot and t[0][0] == t[0][-1]:
                 hot_h = t[0][0]
                 yield from windows(t, len(t[0]))
                 t = [x[:0] for x in t]
         if t is not None and len(t[0]):
-            found = intervals(t, len(t[0]))
-            if found is not None:
-                yield found
+            yield from intervals(t, len(t[0]))
 
     done_bit = F.shiftright("meta", OFFSET_BITS).bitwiseAND(1)
     found = base.select("k", "k2", "text").where(F.length("text") >= length).mapInArrow(scan, "h long, c long, k long, meta long")
@@ -441,13 +468,16 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 30_000) -> D
         .repartition("at")
         .drop("at")
         .sortWithinPartitions(done_bit.desc(), "h", "c", "k", "meta")
-        .mapInArrow(meet, "h long, k long, k2 long, off long, kind byte")
+        .mapInArrow(meet, "h long, k long, meta long")
     )
-    met = settle(met)
+    met = settle(met).select(
+        "h", "k", F.shiftright("meta", OFFSET_BITS + 2).alias("k2"), F.col("meta").bitwiseAND((1 << OFFSET_BITS) - 1).alias("off"),
+        F.shiftright("meta", OFFSET_BITS).bitwiseAND(3).alias("kind"),
+    )
     # The texts are dealt once; both joins below read the same exchange.
     texts = base.repartition("k")
     wanted = met.where("kind > 0").groupBy("k", "k2").agg(F.collect_list(F.struct("off", "h")).alias("wanted"))
-    contexts = (
+    compared = settle(
         texts.join(wanted, ["k", "k2"])
         .select("k", "k2", "text", "wanted")
         .mapInArrow(cut_contexts, "h long, k long, k2 long, off long, before int, context binary")
@@ -455,8 +485,11 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 30_000) -> D
         .sortWithinPartitions("h")
         .mapInArrow(compare, "w1 long, w2 long, k long, k2 long, lo long, hi long")
     )
-    # Intervals pass; windows of hot groups pass where their hash is seen twice.
-    contexts = contexts.withColumn("n", F.count("*").over(Window.partitionBy("w1", "w2"))).where("w2 is null or n > 1")
+    # Intervals pass; windows of hot groups pass where their hash is seen twice. Counts combine before
+    # the shuffle, so a common window is a row a task.
+    windows = compared.where("w2 is not null")
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    contexts = compared.where("w2 is null").drop("w1", "w2").unionByName(windows.join(twice, ["w1", "w2"], "left_semi").drop("w1", "w2"))
     whole = met.where("kind <> 1").select("k", "k2", F.greatest(F.col("off") - reach, F.lit(0)).alias("lo"), (F.col("off") + length).alias("hi"))
     spans = (
         contexts.select("k", "k2", "lo", "hi")
@@ -466,11 +499,14 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 30_000) -> D
     )
 
     def remove(batches):
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                text, merged = row["text"], []
-                for s in row["spans"] or ():
+            types = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            out, size = [], 0
+            for r in range(batch.num_rows):
+                doc_id, text, spans = (batch.column(c)[r].as_py() for c in range(3))
+                merged = []
+                for s in spans or ():
                     lo, hi = s["lo"], min(s["hi"], len(text))
                     if merged and lo <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], hi)
@@ -478,12 +514,13 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 30_000) -> D
                         merged.append([lo, hi])
                 ends = [0, *[x for m in merged for x in m], len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))
-                out.append((row["doc_id"], len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*out)) if out else [[]] * 6
-            types = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            )
+                out.append((doc_id, len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
+                size += len(kept)
+                if size >= SOME:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                    out, size = [], 0
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (
