@@ -149,10 +149,10 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows and columns of ``docs`` that overlap no benchmark item."""
-    found = contamination(docs, benchmark, **options).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    found = contamination(docs, benchmark, **options).select("k1", "k2").distinct()
     k1, k2 = row_key("doc_id", "text")
-    keyed = docs.withColumns({"_d1": k1, "_d2": k2})
-    return keyed.join(found, (keyed["_d1"] == found["_k1"]) & (keyed["_d2"] == found["_k2"]), "left_anti").select(docs.columns)
+    keyed = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1, k2)
+    return keyed.join(found, ["k1", "k2"], "left_anti").select("row.*")
 
 
 ORACLE = """

@@ -6,13 +6,15 @@ off: its character n-grams of the greatest length of which any is known score th
 """
 
 import re
+import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, settle
+from .common import fit_in_task, id_bucket, settle, worker_store
 
 LONGEST = 5
 WORDS = re.compile(r"[^\W\d_]+")
@@ -24,6 +26,7 @@ class Model:
 
     def __init__(self, langs, words, grams, matrix, prior):
         self.langs, self.words, self.grams, self.matrix, self.prior = langs, words, grams, matrix, prior
+        self.name = uuid.uuid4().hex  # of the rows that a worker keeps
 
     def vector(self, word: str) -> np.ndarray:
         known = self.words.get(word)
@@ -52,12 +55,22 @@ class _Rows(dict):
         return n
 
 
-def classify(model: Model, texts, keep: int = 300_000, piece: int = 1 << 20):
-    """(language or 'und', posterior) of each whole text; equal scores go to the first language."""
-    rows = _Rows(model)
+def letters(text: str | None) -> list[str]:
+    """Runs of letters in lower case, as training takes them: signs such as a raised two divide."""
+    words = WORDS.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return list(chain.from_iterable([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split() for w in words))
+
+
+def classify(model: Model, texts, keep: int = 200_000, piece: int = 1 << 20):
+    """(language or 'und', posterior) of each whole text; equal scores go to the first language. Score
+    vectors of ``keep`` words or so stay with the worker."""
+    store = worker_store().setdefault("langid", {})
+    rows = store.get(model.name) or _Rows(model)
     for text in texts:
-        words = WORDS.findall((text or "").lower())
-        if not model.langs or not any(w.isalpha() for w in words):
+        words = letters(text)
+        if not model.langs or not words:
             yield "und", 0.0
             continue
         total = model.prior.copy()
@@ -69,12 +82,14 @@ def classify(model: Model, texts, keep: int = 300_000, piece: int = 1 << 20):
         yield model.langs[best], float(1 / np.exp(total - total[best]).sum())
         if len(rows) > keep:
             rows = _Rows(model)
+    store.clear()
+    store[model.name] = rows
 
 
-def train(docs: DataFrame, per_language: int = 2000, max_entries: int = 100_000, split: int | None = 5, held: int = 0, smooth: float = 0.5) -> Model:
+def train(docs: DataFrame, per_language: int = 2000, least: int = 3, split: int | None = 5, held: int = 0, smooth: float = 0.5) -> Model:
     """Fit on about ``per_language`` documents of each language, picked by hash of id, without those
-    of crc32(id) mod ``split`` = ``held``. Words and n-grams are counted by Spark; the
-    ``max_entries`` most frequent words (three times or more) and n-grams make the model."""
+    of crc32(id) mod ``split`` = ``held``. Words and n-grams are counted by Spark. Those met ``least``
+    times or more are known; rarer words back off to n-grams, rarer n-grams to shorter ones."""
     usable = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     if split:
         usable = usable.where(id_bucket(F.col("doc_id"), split) != held)
@@ -100,15 +115,12 @@ def train(docs: DataFrame, per_language: int = 2000, max_entries: int = 100_000,
     )
     grams = counted.select("lang", "n", F.explode(pieces).alias("w")).groupBy("lang", "w").agg(F.sum("n").alias("n"))
 
-    def top(frame, least):
+    def wide(frame, kind):
         sums = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).cast("double").alias(f"c{k}") for k, lang in enumerate(langs)]
-        best = frame.groupBy("w").agg(F.sum("n").alias("t"), *sums).where(F.col("t") >= least)
-        found = best.orderBy(F.desc("t"), "w").limit(max_entries).toArrow()
-        return found.column("w").to_pylist(), np.stack([found.column(f"c{k}").to_numpy() for k in range(len(langs))], 1).reshape(-1, len(langs))
+        return frame.groupBy("w").agg(F.sum("n").alias("t"), *sums).where(F.col("t") >= least).select(F.lit(kind).alias("kind"), "w", *[f"c{k}" for k in range(len(langs))])
 
-    def logs(names, counts, groups):
+    def logs(counts, groups):
         out = np.empty_like(counts)
-        groups = np.array(groups, int)
         for g in np.unique(groups):
             rows = groups == g
             sums = counts[rows].sum(axis=0)
@@ -116,25 +128,31 @@ def train(docs: DataFrame, per_language: int = 2000, max_entries: int = 100_000,
         # Only differences between languages matter.
         return out - out.max(axis=1, keepdims=True) if len(out) else out
 
-    words, word_counts = top(counted, 3)
-    parts, part_counts = top(grams, 3)
-    matrix = np.concatenate([logs(words, word_counts, [0] * len(words)), logs(parts, part_counts, [len(p) for p in parts])])
     n = np.array([totals[lang] for lang in langs], float)
-    at = dict(zip(parts, range(len(words), len(matrix))))
-    return Model(langs, dict(zip(words, range(len(words)))), at, matrix, np.log(n / n.sum()))
+
+    def learn(table):
+        kind, names = table.column("kind").to_numpy(), np.array(table.column("w").to_pylist(), object)
+        counts = np.stack([table.column(f"c{k}").to_numpy() for k in range(len(langs))], 1).reshape(-1, len(langs))
+        order = np.lexsort((names, kind)) if len(names) else np.empty(0, np.int64)
+        kind, names, counts = kind[order], names[order].tolist(), counts[order]
+        words = int((kind == 0).sum())
+        matrix = logs(counts, np.array([0 if k == 0 else len(w) for k, w in zip(kind, names)], int))
+        return Model(langs, dict(zip(names[:words], range(words))), dict(zip(names[words:], range(words, len(names)))), matrix, np.log(n / n.sum()))
+
+    return fit_in_task(wide(counted, 0).unionByName(wide(grams, 1)), learn)
 
 
 def predict(docs: DataFrame, model: Model, split: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the posterior; 0 for 'und').
 
-    Null texts and texts without a letter are 'und'. One row per row of ``docs``; other columns
-    are ignored."""
+    Null texts and texts without a letter are 'und'; texts of any length are read whole. One row per
+    row of ``docs``; other columns are ignored."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # bounded by max_entries
+    sent = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches):
         for batch in batches:
-            found = list(classify(sent.value, batch.column(2).to_pylist()))
+            found = list(classify(sent.value, (t.as_py() for t in batch.column(2))))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import row_key, settle
 from .components import connected_components
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -67,16 +67,18 @@ def fingerprint(data: bytes | None, width: int = 4, piece: int = PIECE) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * ones > total).tolist())) if total else 0
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long). Null and wordless texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int = 4, more: tuple = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the long columns ``more``. Null and wordless texts
+    have fingerprint zero."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *names])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *more)
+    names = rows.columns[2:]
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {n} long" for n in names))
 
 
 # --- Golay keys -----------------------------------------------------------------------------
@@ -306,21 +308,41 @@ def simhash_groups(docs: DataFrame, width: int = 4, bits: int = 4, hot: int = 81
     a count away. An empty table gives an empty result; other columns are ignored.
     """
     base = settle(fingerprints(docs, width))
-    owners = base.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    linked = connected_components(fingerprint_links(base.select("fp").distinct(), bits, hot))
-    member = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
-    named = member.join(owners, member.node == owners.fp).select("node", "root", "first_id")
+    owners = settle(base.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    named = _members(base, bits, hot).join(owners, "fp").select("fp", "root", "first_id")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_linked = named.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of_all = owners.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return base.join(of_all, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
-
-
-def drop_near_copies(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
-    """The columns of ``docs``; of each component the document with the smallest id stays, once.
-    Rows with a null id stay."""
-    gone = simhash_groups(docs, width, bits).where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    of_linked = named.join(least, "root").select("fp", "component_id")
+    of_all = owners.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n")
+    # A fingerprint with over a thousandth of the rows would crowd the task of its key: there are fewer
+    # than a thousand of them, so theirs are sent to every task.
+    total = owners.agg(F.sum("n")).first()[0] or 0
+    of_all = settle(of_all.withColumn("crowd", F.col("n") > max(256, total // 1000)))
+    crowds = F.broadcast(of_all.where("crowd").select("fp", "component_id"))
+    alone = base.join(crowds, "fp", "left_anti").join(of_all.where("not crowd"), "fp")
+    both = base.join(crowds, "fp").select("doc_id", "fp", "component_id").unionByName(alone.select("doc_id", "fp", "component_id"))
+    return both.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _members(base: DataFrame, bits: int, hot: int) -> DataFrame:
+    """fp, root of the fingerprints that are linked to others."""
+    linked = connected_components(fingerprint_links(base.select("fp").distinct(), bits, hot))
+    return linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
+
+
+def drop_near_copies(docs: DataFrame, width: int = 4, bits: int = 4, hot: int = 8192) -> DataFrame:
+    """The columns of ``docs``; of each component one row stays: that of the smallest id, null ids last,
+    then of the smallest hash of (id, text).
+
+    Rows are told apart by id, text and the other columns, so a row whose id another, unrelated row
+    shares is not lost with it; of wholly equal rows one stays. The texts are dealt once, after equal
+    rows are combined; the choice itself is made on narrow rows."""
+    k1, k2 = row_key("doc_id", "text")
+    plain = [c for c, kind in docs.dtypes if not ("map<" in kind or "variant" in kind)]
+    k3 = F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("k3")
+    base = settle(fingerprints(docs, width, (k1, k2, k3)))
+    own = base.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "k3")).alias("first"))
+    stays = own.join(_members(base, bits, hot), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    chosen = stays.select("first.k1", "first.k2", "first.k3")
+    whole = docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1, k2, k3)
+    once = whole.groupBy("k1", "k2", "k3").agg(F.any_value("row").alias("row"))
+    return once.join(chosen, ["k1", "k2", "k3"], "left_semi").select("row.*")

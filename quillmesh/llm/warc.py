@@ -27,14 +27,21 @@ def canonical_url(url):
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def lower_names(headers):
+    """The map with its names in lower case; of names that then are equal the last in order counts."""
+    empty = F.create_map().cast("map<string,string>")
+    put = lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != F.lower(e["key"])), F.create_map(F.lower(e["key"]), e["value"]))
+    return F.aggregate(F.array_sort(F.map_entries(headers)), empty, put)
+
+
 def _validator(headers, name):
     value = F.element_at(headers, name)
     return F.regexp_replace(value, "^W/", "") if name == "etag" else value
 
 
 def resolve_revisits(records: DataFrame, bucket_seconds: int = 86400, permitted=PERMITTED) -> DataFrame:
-    """records: record_id, kind ('response' or 'revisit'), url, ts, status, headers (map of
-    lower-case names), digest. One row per revisit: record_id, url (canonical), response_id,
+    """records: record_id, kind ('response' or 'revisit'), url, ts, status, headers (map;
+    names count in any case and come out in lower case), digest. One row per revisit: record_id, url (canonical), response_id,
     response_ts, outcome, headers.
 
     The response is the latest full one (status 200) of the same canonical URL strictly earlier in
@@ -50,7 +57,7 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86400, permitted=
         F.col("kind").alias("what"),
         canonical_url(F.col("url")).alias("url"),
         "ts",
-        F.coalesce("headers", no_headers).alias("headers"),
+        lower_names(F.coalesce("headers", no_headers)).alias("headers"),
         "digest",
         ((F.col("kind") == "response") & (F.col("status") == 200)).alias("full"),
     ).where("what = 'revisit' or full")

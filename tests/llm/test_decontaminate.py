@@ -104,3 +104,10 @@ def test_short_items(spark):
     got = {(r.doc_id, r.item_id, r.overlap, r.window) for r in D.report(dd, bb).collect()}
     assert got == want
     assert {r.doc_id for r in D.clean(dd, bb).collect()} == {i for i, _ in docs} - {i for i, *_ in want}
+
+
+def test_clashing_columns_pass(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, item), (2, "clean words only here"), (3, None)], "doc_id long, text string").selectExpr("*", "7 as _d1", "8 as k1", "9 as row", "'z' as item_id")
+    left = D.clean(docs, spark.createDataFrame([(1, item, 5)], "item_id long, text string, words int"))
+    assert left.columns == docs.columns and sorted((r.doc_id, r._d1, r.k1, r.row, r.item_id) for r in left.collect()) == [(2, 7, 8, 9, "z"), (3, 7, 8, 9, "z")]

@@ -44,3 +44,6 @@ def test_backoff_by_hand():
     assert lang == "b" and math.isclose(score, 1 / (1 + math.exp(-4.0)))
     assert next(L.classify(model, ["zy"]))[0] == "a"
     assert next(L.classify(model, ["qq"]))[1] == 0.5
+    for text in ("z² q²", "zzy½", "²z"):  # letters beside numeric signs
+        assert next(L.classify(model, [text]))[0] != "und"
+    assert [f[0] for f in L.classify(model, ["²½ 12 _", None, ""])] == ["und"] * 3 and L.letters("ab²cd_É") == ["ab", "cd", "é"]

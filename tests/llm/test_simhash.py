@@ -114,3 +114,21 @@ def test_empty_table_and_dedup(spark):
     assert kept.columns == docs.columns
     want = {c for _, _, c in slow_components(rows)}
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want)
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "one two three four five six", "a"), (2, "one two three four five six", "a"), (2, "quite another text stands here alone", "b"), (None, "one two three four five six", "c"),
+            (None, "no id and no copy of anything here", "d"), (None, "no id and no copy of anything here", "d"), (3, None, "e"), (4, "", "e"), (5, "twice the very same row of words", "f"), (5, "twice the very same row of words", "f")]
+    docs = spark.createDataFrame([(*r, 1, {"k": "v"}) for r in rows], "doc_id long, text string, k1 string, `row` int, m map<string,string>").repartition(4)
+    kept = S.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    left = sorted((r.doc_id or 0, r.text or "", r.k1) for r in kept.collect())
+    assert left == sorted([(1, rows[0][1], "a"), (2, rows[2][1], "b"), (0, rows[4][1], "d"), (3, "", "e"), (5, rows[8][1], "f")])
+
+
+def test_crowded_fingerprint(spark):
+    rows = [(i, "the same words in all of these") for i in range(600)] + [(1000 + i, f"text number {i} of its own {i * i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as fp", "2 as n").repartition(5)
+    got = {r.doc_id: r.component_id for r in S.simhash_groups(docs).collect()}
+    assert len(got) == 650 and {got[i] for i in range(600)} == {0} and all(got[i] >= 1000 for i in range(1000, 1050))
+    assert [r.doc_id for r in S.drop_near_copies(docs).where("doc_id < 1000").collect()] == [0]

@@ -68,3 +68,12 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert W.resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_header_names_in_any_case(spark):
+    rows = [(1, "response", "http://a/x", 0, 200, {"ETag": 'W/"1"', "Content-Type": "t", "content-type": "u"}, "d"), (2, "revisit", "http://a/x", 5, 304, {"eTaG": '"1"', "CACHE-Control": "no"}, "d"),
+            (3, "revisit", "http://a/x", 6, 304, {"ETAG": '"2"'}, "d")]
+    records = spark.createDataFrame(rows, "record_id long, kind string, url string, at long, status int, headers map<string,string>, digest string").selectExpr("*", "timestamp_seconds(at) as ts", "1 as bucket")
+    got = {r.record_id: r for r in W.resolve_revisits(records).collect()}
+    assert got[2].outcome == "resolved" and got[2].headers == {"etag": '"1"', "content-type": "u", "cache-control": "no"}
+    assert got[3].outcome == "etag"
