@@ -36,6 +36,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT = 64 << 20
+
+
+def small_batches(spark: SparkSession, size: int = 6 << 20) -> None:
+    """Texts go to Python workers ``size`` bytes at a time, where the session leaves Spark's default:
+    each task holds a batch outside the heap, twice while it grows. Results do not depend on it."""
+    if spark.conf.get(BATCH).rstrip("bB") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH, str(size))
+
+
 def id_bucket(column, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_in_task, id_bucket, settle, worker_store
+from .common import fit_in_task, id_bucket, settle, small_batches, worker_store
 
 LONGEST = 5
 WORDS = re.compile(r"[^\W\d_]+")
@@ -148,6 +148,7 @@ def predict(docs: DataFrame, model: Model, split: int = 5, held: int = 0) -> Dat
     Null texts and texts without a letter are 'und'; texts of any length are read whole. One row per
     row of ``docs``; other columns are ignored."""
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches):

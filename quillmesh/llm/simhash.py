@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, settle
+from .common import row_key, settle, small_batches
 from .components import connected_components
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, width: int = 4, more: tuple = ()) -> DataFrame
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *names])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *more)
     names = rows.columns[2:]
     return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {n} long" for n in names))

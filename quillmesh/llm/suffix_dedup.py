@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small_batches
 
 GRAM = 64
 PIECE = 1 << 19  # bytes that are hashed at a time
@@ -279,6 +279,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 16_384) -> D
     """
     if length <= GRAM:
         raise ValueError(f"length must be above {GRAM}")
+    small_batches(docs.sparkSession)
     reach = length - GRAM
     key = F.xxhash64("doc_id", "text").alias("k")
     k2 = (F.hash("text", "doc_id").cast("long").bitwiseAND(0xFFFFFF)).alias("k2")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, worker_store
+from .common import shared_folder, small_batches, worker_store
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -213,16 +213,16 @@ class WordEncoder:
     ``store_bytes`` of words met lately.
     """
 
-    def __init__(self, path: str | None = None, slice_bytes: int = 6 << 20, store_bytes: int = 48 << 20):
+    def __init__(self, path: str | None = None, slice_bytes: int = 4 << 20, store_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.plain, self.slice_bytes = Tokenizer.from_file(path), Tokenizer.from_file(path), slice_bytes
-        self.plain.normalizer = normalizers.Sequence([])
+        self.tokenizer, self.slice_bytes = Tokenizer.from_file(path), slice_bytes
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -414,6 +414,7 @@ def write_codes(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
         if ids:
             yield shard()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = ordered.mapInArrow(run, "seq int, doc_ids binary, null_ids binary, ends binary, tokens long, codes binary")

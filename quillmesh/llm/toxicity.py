@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fit_in_task, id_bucket
+from .common import bounded_sample, fit_in_task, id_bucket, small_batches
 
 # Closed classes of the grammar in English, German, French and Spanish.
 TARGET = frozenset("you your yours u he him she her they them du dich dir dein ihr euch tu toi ton vous votre usted ustedes tú ti".split())
@@ -283,7 +283,7 @@ def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, s
 
     def run(batches):
         for batch in batches:
-            x = [grammar.features(t) for t in batch.column(2).to_pylist()]
+            x = [grammar.features(t.as_py()) for t in batch.column(2)]
             scores = [grammar.score(f) for f in x]
             yield pa.record_batch(
                 [
@@ -296,6 +296,7 @@ def score_documents(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, s
                 names=["doc_id", "held_out", "score", "predicted", *names],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", (id_bucket(F.col("doc_id"), split) == held).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, " + ", ".join(f"{k} double" for k in names))
@@ -305,6 +306,8 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.7) -> Dat
     """The rows and columns of ``docs`` that score below the threshold."""
     from pyspark.sql.functions import pandas_udf
 
+    small_batches(docs.sparkSession)
+
     @pandas_udf("boolean")
     def toxic(texts):
         return texts.map(lambda t: grammar.score(grammar.features(t)) >= threshold)
