@@ -164,7 +164,10 @@ def _documents(files: DataFrame, inventory: DataFrame):
 
     # Link targets: external ones go; '#name' in the file; a relative path; a name that one file has.
     asked = found.where("fact = 'link'").where(~F.col("name").rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^//")).withColumn("path", F.regexp_replace("name", "#.*$", ""))
-    asked = asked.withColumn("fragment", F.nullif(F.regexp_extract("name", "#(.*)$", 1), F.lit("")))
+    said = F.nullif(F.regexp_extract("name", "#(.*)$", 1), F.lit(""))
+    asked = asked.withColumn("fragment", slug(F.coalesce(F.try_url_decode(F.replace(said, F.lit("+"), F.lit("%2B"))), said)))
+    unquoted = F.try_url_decode(F.replace(F.regexp_replace("path", r"\?.*$", ""), F.lit("+"), F.lit("%2B")))
+    asked = asked.withColumn("path", F.coalesce(unquoted, F.col("path")))
     whole = F.split(F.concat_ws("/", F.when(F.instr("file", "/") > 0, F.regexp_replace("file", "/[^/]*$", "")), "path"), "/")
     folded = F.aggregate(
         whole, F.array().cast("array<string>"),
@@ -172,6 +175,7 @@ def _documents(files: DataFrame, inventory: DataFrame):
     )
     asked = asked.withColumn("target", F.when(F.col("path") == "", F.col("file")).otherwise(F.array_join(folded, "/")))
     ids = inventory.where("type = 'file'").select(F.col("id").alias("target"), F.col("id").alias("exact"))
+    # A name that one file has stands for it, where no folder is named.
     base_name = E.unique_key(inventory.where("type = 'file'").select(F.regexp_extract("id", "[^/]+$", 0).alias("path"), F.col("id").alias("by_name")), "path", "by_name")
     placed = asked.join(ids, "target", "left").join(base_name, "path", "left").withColumn("to_file", F.coalesce("exact", "by_name")).where("to_file is not null")
     unique_slug = headings.withColumn("fragment", slug(F.col("name"))).groupBy("file", "fragment").agg(F.min("id").alias("to_heading"), F.count("*").alias("n")).where("n = 1")
@@ -179,7 +183,7 @@ def _documents(files: DataFrame, inventory: DataFrame):
     section = headings.select("file", "k", F.col("id").alias("section"))
     placed = placed.join(section, ["file", "k"], "left")
     edges.append(
-        placed.select(F.coalesce("section", "file").alias("source"), F.coalesce("to_heading", "to_file").alias("target"), F.lit(6).alias("phase"), F.lit("").alias("seq"), F.lit("mentions").alias("type"))
+        placed.where("path <> '' or to_heading is not null").select(F.coalesce("section", "file").alias("source"), F.coalesce("to_heading", "to_file").alias("target"), F.lit(6).alias("phase"), F.lit("").alias("seq"), F.lit("mentions").alias("type"))
     )
     return nodes, edges
 
@@ -220,7 +224,13 @@ def explain(nodes: DataFrame, links: DataFrame, concept: str, hops: int = 2, cap
     return n, e, found, cut
 
 
+def _loaded(links: DataFrame) -> DataFrame:
+    """Links as graph operators see them: of repeated ordered pairs of a document the last."""
+    return E.last_link_wins(links) if "ord" in links.columns else links
+
+
 def _around(nodes, links, seeds, hops, cap):
+    links = _loaded(links)
     near, cut = G.neighbourhood(links, seeds, hops, cap)
     ids = nodes.sparkSession.createDataFrame([(i,) for i, _ in near], "id string")
     return *E.induced(nodes, links, F.broadcast(ids)), cut
@@ -251,7 +261,7 @@ def path(nodes: DataFrame, links: DataFrame, start: str, end: str, max_hops: int
     failed = [side for side, m in zip(("start", "end"), found) if not m]
     if failed:
         raise EndpointUnresolvedError(failed)
-    ids, steps, total = G.find_path(nodes, links, found[0][0].id, found[1][0].id, max_hops, **cost)
+    ids, steps, total = G.find_path(nodes, _loaded(links), found[0][0].id, found[1][0].id, max_hops, **cost)
     return {"start": found[0][0].id, "end": found[1][0].id, "nodes": ids, "steps": steps, "total_cost": total, "explanation": G.path_sentence(start, end, ids, steps)}
 
 

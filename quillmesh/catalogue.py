@@ -8,6 +8,7 @@ from .operators import expand as G
 from .operators import links as L
 from .operators import merge as M
 from .plans.model import edge_cost, slug
+from .sources import files as S
 
 
 def _t(spark, sf_dir, name):
@@ -64,6 +65,11 @@ def links(spark, sf_dir):
     return E.first_edge_wins(candidate_links(spark, sf_dir))
 
 
+def settled_links(spark, sf_dir):
+    """For queries that read the links again and again."""
+    return G.settle(links(spark, sf_dir))
+
+
 GRAPH = """
 WITH raw AS (
   SELECT 'region::' || n_regionkey AS source, 'nation::' || n_nationkey AS target, 0 AS phase, CAST(n_nationkey AS BIGINT) AS seq,
@@ -144,8 +150,8 @@ def q01_histogram(spark, sf_dir):
     return E.histogram(nodes(spark, sf_dir))
 
 
-def _hood(spark, sf_dir, hops=2):
-    found, cut = G.neighbourhood(links(spark, sf_dir), ["region::0"], hops, 100)
+def _hood(spark, sf_dir, hops=2, edges=None):
+    found, cut = G.neighbourhood(settled_links(spark, sf_dir) if edges is None else edges, ["region::0"], hops, 100)
     return spark.createDataFrame([(i, h, cut) for i, h in found], "id string, hop int, truncated boolean")
 
 
@@ -161,7 +167,8 @@ def q02_neighbourhood_one_hop(spark, sf_dir):
 
 @_query(GRAPH + _HOOD + "SELECT source, target, type FROM links WHERE source IN (SELECT id FROM hood) AND target IN (SELECT id FROM hood)")
 def q03_induced(spark, sf_dir):
-    return E.induced(nodes(spark, sf_dir), links(spark, sf_dir), _hood(spark, sf_dir))[1].select("source", "target", "type")
+    edges = settled_links(spark, sf_dir)
+    return E.induced(nodes(spark, sf_dir), edges, F.broadcast(_hood(spark, sf_dir, 2, edges)))[1].select("source", "target", "type")
 
 
 @_query(
@@ -298,9 +305,16 @@ def q14_directories(spark, sf_dir):
     return L.directory_chain(_t(spark, sf_dir, "pages").select(path.alias("path")))[1]
 
 
-@_query()
+@_query("""
+WITH RECURSIVE s AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6::DOUBLE AS a, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6::DOUBLE + 1 AS b, event_type || ' ' || event_id AS t FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, b, t) AS rn FROM s),
+f AS (SELECT user_id, rn, 0 AS chunk, a AS since, length(t) AS n, false AS closed FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.rn, f.chunk + CAST(f.closed AS INT), CASE WHEN f.closed THEN e.a ELSE f.since END,
+    CASE WHEN f.closed THEN length(e.t) ELSE f.n + 1 + length(e.t) END, NOT f.closed AND (f.n + 1 + length(e.t) >= 60 OR e.b - f.since >= 3600)
+  FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
+SELECT user_id, CAST(chunk AS INT) AS ordinal, min(a) AS start_sec, max_by(b, rn) AS end_sec, string_agg(t, ' ' ORDER BY rn) AS text FROM f JOIN e USING (user_id, rn) GROUP BY user_id, chunk""")
 def q15_segments(spark, sf_dir):
-    """Fold of each user's events into chunks (order-dependent state has no plain SQL form)."""
+    """Fold of each user's events into chunks."""
     events = _t(spark, sf_dir, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     segments = events.select("user_id", at.alias("start_sec"), (at + 1).alias("end_sec"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("text"))
@@ -316,24 +330,30 @@ def q16_scan_cost(spark, sf_dir):
     return M.scan_cost(files, F.col("lang") == "en", 10000).withColumn("non_code_share", F.round("non_code_share", 9))
 
 
-@_query("""
-SELECT id, name FROM (SELECT 'supplier::' || s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0
-  UNION SELECT 'supplier::' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 1)""")
+@_query(GRAPH + "SELECT 'node' AS what, id AS a, NULL AS b, type FROM nodes UNION ALL SELECT DISTINCT 'edge', source, target, type FROM links")
 def q17_merge(spark, sf_dir):
-    some = nodes(spark, sf_dir).where("id like 'supplier::%'").select("id", "type", "name").withColumn("ord", F.lit(0))
-    none = spark.createDataFrame([], "source string, target string, type string, provenance string")
-    number = F.element_at(F.split("id", "::"), 2).cast("long")
-    merged, _ = M.merge_graphs([(some.where(number % 3 != 0), none), (some.where(number % 3 != 1), none)])
-    return merged.select("id", "name")
+    """Two whole graphs that share all nodes and the edges of two phases: each edge once."""
+    n, e = G.settle(nodes(spark, sf_dir)), settled_links(spark, sf_dir)
+    first, second = e.where("type <> 'related_to'"), e.where("type <> 'depends_on'")
+    merged, edges = M.merge_graphs([(n, first), (n, second)])
+    return merged.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), "type").unionByName(
+        edges.select(F.lit("edge").alias("what"), F.col("source").alias("a"), F.col("target").alias("b"), "type")
+    )
 
 
-@_query("""
-SELECT 'supplier::' || s_suppkey AS id, [0, 1] AS inputs FROM supplier WHERE s_suppkey % 10 = 4""")
+@_query(
+    GRAPH
+    + """SELECT id AS a, NULL AS b, [0, 1] AS inputs FROM nodes WHERE id LIKE '%::4'
+UNION ALL SELECT source, target, [0, 1] FROM links WHERE source LIKE '%::7' AND confidence IS NOT NULL"""
+)
 def q17_conflicts(spark, sf_dir):
-    some = nodes(spark, sf_dir).where("id like 'supplier::%'").select("id", "name")
-    number = F.element_at(F.split("id", "::"), 2).cast("long")
-    other = some.withColumn("name", F.when(number % 10 == 4, F.lit("changed")).otherwise(F.col("name")))
-    return M.conflicts(M.stack([some, other]), ["id"], ["name"])
+    """Nodes and edges of two whole graphs that differ: names of some nodes, confidences of some edges."""
+    n, e = G.settle(nodes(spark, sf_dir).select("id", "name")), settled_links(spark, sf_dir)
+    other = n.withColumn("name", F.when(F.col("id").like("%::4"), F.lit("changed")).otherwise(F.col("name")))
+    keys = ["source", "target", "type", "provenance"]
+    less = e.withColumn("confidence", F.when(F.col("source").like("%::7"), F.col("confidence") / 4).otherwise(F.col("confidence")))
+    of_nodes = M.conflicts(M.stack([n, other]), ["id"], ["name"]).select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), "inputs")
+    return of_nodes.unionByName(M.conflicts(M.stack([e, less]), keys, ["confidence"]).select(F.col("source").alias("a"), F.col("target").alias("b"), "inputs"))
 
 
 @_query("""
@@ -347,18 +367,53 @@ def q18_cache_probe(spark, sf_dir):
     return M.cache_probe(hashed, store).select("doc_id", "outcome")
 
 
-@_query(r"""
-WITH a AS (SELECT c_custkey, 'see [nation::' || c_nationkey || '] and [region::' || (c_custkey % 9) || '], [nation::' || c_nationkey || ']' AS t FROM customer),
-x AS (SELECT c_custkey, list_distinct(regexp_extract_all(t, '\[([^\[\]]+)\]', 1)) AS l FROM a),
-u AS (SELECT c_custkey, unnest(l) AS node_id FROM x)
-SELECT c_custkey AS answer_id, node_id FROM u
-WHERE node_id IN (SELECT 'region::' || r_regionkey FROM region UNION ALL SELECT 'nation::' || n_nationkey FROM nation)""")
+_PLACES = """
+WITH n AS (SELECT 'r' || r_regionkey AS id FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation),
+l AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, 'contains' AS type FROM nation)"""
+
+
+def _places(spark, sf_dir):
+    region, nation = _t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation")
+    name = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"))
+    edges = nation.select(name("r", "n_regionkey").alias("source"), name("n", "n_nationkey").alias("target"), F.lit("contains").alias("type"))
+    return region.select(name("r", "r_regionkey").alias("id")).unionByName(edges.select(F.col("target").alias("id"))), edges
+
+
+@_query(
+    _PLACES
+    + r""",
+a AS (SELECT c_custkey, '[edge:r' || (c_custkey % 7) || '->n' || c_nationkey || ':contains] see [n' || c_nationkey || '] and [node: r' || (c_custkey % 9) || ' ], [node:n' || c_nationkey
+  || '], [node:n' || c_nationkey || '] [edge:n' || c_nationkey || '->r0:contains]' AS t FROM customer),
+x AS (SELECT c_custkey, unnest(list_distinct(list_transform(regexp_extract_all(t, '\[node:([^\]]+)\]', 1), lambda v: trim(v)))) AS node_id FROM a),
+y AS (SELECT c_custkey, regexp_extract_all(t, '\[edge:([^\]\-]+)->([^\]:]+):([^\]]+)\]', 1) AS s, regexp_extract_all(t, '\[edge:([^\]\-]+)->([^\]:]+):([^\]]+)\]', 2) AS d FROM a),
+z AS (SELECT c_custkey, unnest(s) AS source, unnest(d) AS target FROM y)
+SELECT c_custkey AS answer_id, 'node' AS kind, node_id, NULL AS source, NULL AS target FROM x WHERE node_id IN (SELECT id FROM n)
+UNION ALL SELECT DISTINCT c_custkey, 'edge', NULL, z.source, z.target FROM z JOIN l USING (source, target)"""
+)
 def q19_citations(spark, sf_dir):
-    nation = F.concat(F.lit("[nation::"), F.col("c_nationkey").cast("string"), F.lit("]"))
-    said = F.concat(F.lit("see "), nation, F.lit(" and [region::"), (F.col("c_custkey") % 9).cast("string"), F.lit("], "), nation)
+    n, e = _places(spark, sf_dir)
+    key = lambda c: F.col(c).cast("string")
+    nation, other, region = key("c_nationkey"), (F.col("c_custkey") % 9).cast("string"), (F.col("c_custkey") % 7).cast("string")
+    said = F.concat(
+        F.lit("[edge:r"), region, F.lit("->n"), nation, F.lit(":contains] see [n"), nation, F.lit("] and [node: r"), other, F.lit(" ], [node:n"), nation,
+        F.lit("], [node:n"), nation, F.lit("] [edge:n"), nation, F.lit("->r0:contains]"),
+    )
     answers = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), said.alias("text"))
-    ids = nodes(spark, sf_dir).where("id like 'region::%' or id like 'nation::%'")
-    return M.citations(answers, ids).select("answer_id", "node_id")
+    return M.citations(answers, n, e).select("answer_id", "kind", "node_id", "source", "target")
+
+
+@_query(
+    _PLACES
+    + """, h AS (SELECT 'n' || s_nationkey AS id, min(s_suppkey) AS rank FROM supplier GROUP BY 1),
+f AS (SELECT id, row_number() OVER (ORDER BY rank, id) - 1 AS ordinal FROM h),
+t AS (SELECT *, row_number() OVER (ORDER BY source, target, type) - 1 AS ordinal FROM l WHERE source IN (SELECT id FROM h) OR target IN (SELECT id FROM h))
+SELECT 'node' AS kind, ordinal, id AS node_id, NULL AS source, NULL AS target, NULL AS type FROM f WHERE ordinal < 5
+UNION ALL SELECT 'edge', ordinal, NULL, source, target, type FROM t WHERE ordinal < 3"""
+)
+def q19_fallback(spark, sf_dir):
+    hits = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("id"), F.col("s_suppkey").alias("rank"))
+    found = M.fallback_citations(hits, *_places(spark, sf_dir))
+    return found.withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 @_query("""
@@ -383,7 +438,7 @@ UNION ALL SELECT 'concept', id FROM nodes WHERE id LIKE 'part::%5'"""
 def q21_violations(spark, sf_dir):
     n = nodes(spark, sf_dir).where("id not like 'part::%3'")
     n = n.withColumn("name", F.when(F.col("id").like("part::%5"), F.lit(" ")).otherwise(F.col("name")))
-    e = links(spark, sf_dir)
+    e = settled_links(spark, sf_dir)
     e = e.withColumn("type", F.when(F.col("source") == "orders::7", F.lit("unknown")).otherwise(F.col("type")))
     e = e.withColumn("provenance", F.when(F.col("target").like("part::%9"), F.lit("extracted")).otherwise(F.col("provenance")))
     return M.violations(n, e)
@@ -395,7 +450,7 @@ def q21_violations(spark, sf_dir):
 UNION ALL SELECT 2, '  "' || source || '" -> "' || target || '" [label="' || type || '"];' FROM links"""
 )
 def q22_dot(spark, sf_dir):
-    return M.dot_lines(nodes(spark, sf_dir), links(spark, sf_dir))
+    return M.dot_lines(nodes(spark, sf_dir), links(spark, sf_dir)).drop("ord")
 
 
 @_query("""
@@ -423,3 +478,63 @@ def q24_headings(spark, sf_dir):
     return pages.select(
         "page_id", F.regexp_count("html", F.lit("<h1[ >]")).cast("long").alias("n_headings"), F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("heading")
     )
+
+
+@_query("""
+WITH r AS (SELECT 'c' || o_custkey AS source, o_orderpriority AS target, o_orderstatus AS type, o_orderkey AS ord FROM orders)
+SELECT source, target, type, ord FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY ord DESC) AS rn FROM r) WHERE rn = 1""")
+def q25_last_link(spark, sf_dir):
+    """What a load makes of ordered pairs that a document holds again and again."""
+    orders = _t(spark, sf_dir, "orders")
+    made = orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.col("o_orderpriority").alias("target"), F.col("o_orderstatus").alias("type"), F.col("o_orderkey").alias("ord"))
+    return E.last_link_wins(made)
+
+
+_SUFFIXES = (".py", ".PY", ".pyw", ".ts", ".tsx", ".mjs", ".go", ".rs", ".hpp", ".sql", ".java", ".md", "", ".tar.gz", ".cc")
+
+
+@_query(
+    "WITH s AS (SELECT ["
+    + ", ".join(f"'{x}'" for x in _SUFFIXES)
+    + """] AS s), f AS (SELECT p_partkey, 'src/' || p_size || CASE WHEN p_partkey % 5 = 0 THEN '/' ELSE '/a' END || s.s[p_partkey % 15 + 1] AS id FROM part, s),
+x AS (SELECT p_partkey, regexp_extract(regexp_extract(id, '[^/]*$'), '.(\\.[^.]+)$', 1) AS x FROM f)
+SELECT p_partkey, CASE WHEN x IN ('.py', '.pyw') THEN 'python' WHEN x IN ('.ts', '.tsx') THEN 'typescript' WHEN x = '.mjs' THEN 'javascript' WHEN x = '.go' THEN 'go' WHEN x = '.rs' THEN 'rust'
+  WHEN x IN ('.hpp', '.cc') THEN 'cpp' WHEN x = '.sql' THEN 'sql' WHEN x = '.java' THEN 'java' END AS language FROM x"""
+)
+def q26_languages(spark, sf_dir):
+    suffix = F.element_at(F.array(*[F.lit(x) for x in _SUFFIXES]), (F.col("p_partkey") % 15 + 1).cast("int"))
+    name = F.concat(F.lit("src/"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 5 == 0, "/").otherwise("/a"), suffix)
+    return _t(spark, sf_dir, "part").select("p_partkey", S.language(name).alias("language"))
+
+
+@_query("""
+WITH v AS (SELECT o_orderpriority AS kind, CAST(o_custkey AS VARCHAR) AS key, CAST(o_orderkey AS VARCHAR) AS payload, o_orderkey AS ord FROM orders)
+SELECT kind, key, payload FROM (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY ord DESC) AS rn FROM v) WHERE rn = 1""")
+def q27_cache_upsert(spark, sf_dir):
+    """A cache after all orders were put into it, in two lots."""
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").cast("string").alias("payload"), F.col("o_orderkey").alias("ord"))
+    middle = F.col("ord") % 2 == 0
+    return M.cache_upsert(rows.where(middle), rows.where(~middle)).select("kind", "key", "payload")
+
+
+@_query("""
+WITH f AS (SELECT 'doc/' || p_partkey || '/' || p_brand || (p_size % 40) || '.md' AS id, lower(p_brand || (p_size % 40)) AS stem FROM part),
+u AS (SELECT stem, min(id) AS target FROM f GROUP BY stem HAVING count(DISTINCT id) = 1),
+m AS (SELECT DISTINCT 'img/' || upper(p_brand) || p_size || '.png' AS source, lower(p_brand) || p_size AS stem FROM part)
+SELECT source, target FROM m JOIN u USING (stem)""")
+def q28_media_stems(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    named = F.concat("p_brand", (F.col("p_size") % 40).cast("string"))
+    files = part.select(F.concat(F.lit("doc/"), F.col("p_partkey").cast("string"), F.lit("/"), named, F.lit(".md")).alias("id"))
+    media = part.select(F.concat(F.lit("img/"), F.upper("p_brand"), F.col("p_size").cast("string"), F.lit(".png")).alias("id")).distinct()
+    return L.same_stem(media, files)
+
+
+@_query(
+    GRAPH
+    + """SELECT n.id, n.type, coalesce(o.n, 0) AS links_out, coalesce(i.n, 0) AS links_in FROM nodes n
+LEFT JOIN (SELECT source AS id, count(*) AS n FROM links GROUP BY source) o USING (id) LEFT JOIN (SELECT target AS id, count(*) AS n FROM links GROUP BY target) i USING (id)"""
+)
+def q29_evidence(spark, sf_dir):
+    """What a summary says of a node: its links to both sides."""
+    return E.degrees(nodes(spark, sf_dir), settled_links(spark, sf_dir)).select("id", "type", "links_out", "links_in")

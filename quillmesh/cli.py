@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from . import api
     from .operators.edges import stats
-    from .operators.merge import LargeRepoError, dot_lines
+    from .operators.merge import DOT_HEAD, DOT_TAIL, LargeRepoError, dot_lines
     from .sources import graph_json
 
     if args.command not in ("index", "merge") and not os.path.exists(have.output):
@@ -68,8 +68,8 @@ def main(argv: list[str] | None = None) -> int:
             elif args.command == "query":
                 print([r.id for r in api.query(nodes, links, args.question, have.query_k, have.query_hops, have.query_match_threshold, have.query_node_cap)[2]])
             else:
-                lines = [r.line for r in dot_lines(nodes, links).orderBy("section", "line").toLocalIterator()]
-                graph_json.write_atomic(args.output, "\n".join(['digraph G {', '  rankdir="LR";', *lines, "}"]) + "\n")
+                lines = [r.line for r in dot_lines(nodes, links).orderBy("section", "ord", "line").toLocalIterator()]
+                graph_json.write_atomic(args.output, "\n".join([*DOT_HEAD, *lines, *DOT_TAIL]) + "\n")
     except LargeRepoError as e:
         print(e, file=sys.stderr)
         return 2

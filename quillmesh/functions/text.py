@@ -43,10 +43,15 @@ def contained(part, whole):
 
 def token_score(query, have):
     """Overlap; 0.85 at least when either set lies inside the other."""
-    both = (F.size(query) > 0) & (F.size(have) > 0)
-    inside = contained(query, have) | contained(have, query)
-    share = overlap(query, have)
-    return F.when(both, F.when(inside, F.greatest(share, F.lit(0.85))).otherwise(share)).otherwise(F.lit(0.0))
+
+    def score(s):
+        share = s["common"] / F.greatest(F.size(query), F.lit(1))
+        inside = (s["common"] == F.size(query)) | (s["common"] == s["n"])
+        return F.when((F.size(query) > 0) & (s["n"] > 0), F.when(inside, F.greatest(share, F.lit(0.85))).otherwise(share)).otherwise(F.lit(0.0))
+
+    # Lambdas hold ``have``, and what is counted of it, once: the optimizer would write out its expression at each use.
+    counted = F.transform(F.array(have), lambda t: F.struct(F.size(F.array_intersect(query, t)).alias("common"), F.size(t).alias("n")))
+    return F.transform(counted, score)[0]
 
 
 def substring_score(query, text, name, node_id):

@@ -84,3 +84,10 @@ def stats(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def histogram(nodes: DataFrame) -> DataFrame:
     """type, n by falling count, then type; nodes without a type do not count."""
     return nodes.where("type is not null").groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
+
+
+def degrees(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with links_out and links_in, counted in one aggregation over both ends."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("o")), F.struct(F.col("target").alias("id"), F.lit(0).alias("o")))).alias("e"))
+    counted = ends.groupBy("e.id").agg(F.sum("e.o").alias("links_out"), F.sum(1 - F.col("e.o")).alias("links_in"))
+    return nodes.join(counted, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("links_out", "links_in")})

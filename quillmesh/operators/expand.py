@@ -33,7 +33,7 @@ def neighbourhood(links: DataFrame, seeds: list[str], hops: int, cap: int = 500)
     (hop, id). What the driver holds is bounded by ``cap`` and the seeds; the links are scanned once
     a hop against a frontier of at most that size."""
     if hops not in (1, 2):
-        raise ValueError(f"hops must be 1 or 2, got {hops}")
+        raise ValueError(f"a neighbourhood has one hop or two, not {hops}")
     spark = links.sparkSession
     found = {s: 0 for s in sorted(set(seeds))}
     frontier = list(found)
@@ -94,16 +94,16 @@ def find_path(nodes: DataFrame, links: DataFrame, start: str, end: str, max_hops
     """(nodes, steps, total). ``max_hops`` is checked on the cheapest path: it bars, it does not
     steer."""
     have = {r.id for r in nodes.where(F.col("id").isin(start, end)).select("id").collect()}
-    for side, name in ((start, "Start"), (end, "End")):
-        if side not in have:
-            raise PathError(f"{name} node not in graph: {side}")
+    lost = [i for i in (start, end) if i not in have]
+    if lost:
+        raise PathError("the graph has no " + " and no ".join(lost))
     if start == end:
         return [start], [], 0.0
     row = shortest_paths(links, start, [end], **cost).first()
     if row is None:
-        raise NoPathError(f"No directed path from {start!r} to {end!r}")
+        raise NoPathError(f"{end} cannot be reached from {start}")
     if row.hops > max_hops:
-        raise PathTooLongError(f"Path has {row.hops} edges, exceeding max_hops={max_hops}")
+        raise PathTooLongError(f"the cheapest path takes {row.hops} steps and {max_hops} are allowed")
     pairs = list(zip(row.nodes, row.nodes[1:]))
     wanted = links.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, source string, target string")
     steps = links.withColumn("cost", edge_cost(**cost)).join(F.broadcast(wanted), ["source", "target"]).orderBy("k")
@@ -115,10 +115,11 @@ def find_path(nodes: DataFrame, links: DataFrame, start: str, end: str, max_hops
 
 
 def path_sentence(start: str, end: str, nodes: list[str], steps: list[dict]) -> str:
-    if not steps:
-        return f"{start!r} and {end!r} resolve to the same entity ({nodes[0]})." if len(nodes) == 1 else f"{start!r} connects to {end!r} with no edges."
-    shown = []
-    for s in steps:
-        confidence = "" if s["confidence"] is None else f", confidence={s['confidence']:.2f}"
-        shown.append(f"{s['source']} —[{s['type']}/{s['provenance']}{confidence}]→ {s['target']}")
-    return f"{start!r} connects to {end!r} via: {' '.join(shown)}."
+    """One line on a found path, each step with what is known of its edge."""
+    if len(nodes) == 1:
+        return f"Both phrases mean the same entity: {nodes[0]}"  # "same entity" is fixed
+    told = [nodes[0]]
+    for step in steps:
+        known = [step["type"], step["provenance"]] + ([f"{step['confidence']:.0%}"] if step["confidence"] is not None else [])
+        told.append(f"-({', '.join(known)})-> {step['target']}")
+    return f"{start!r} leads to {end!r} in {len(steps)} steps: {' '.join(told)}"

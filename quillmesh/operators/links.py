@@ -117,3 +117,14 @@ def merge_segments(segments: DataFrame, group: str, least_chars: int = 400, leas
         return F.when(state["open"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
 
     return rows.select(group, F.posexplode(F.aggregate("s", empty, step, close)).alias("ordinal", "c")).select(group, "ordinal", "c.*")
+
+
+def same_stem(media: DataFrame, files: DataFrame) -> DataFrame:
+    """media (id) to the only one of ``files`` (id) whose name without suffix is the same in lower case:
+    source, target. Files named by a suffix alone have no stem."""
+
+    def stem(df, name):
+        base = F.lower(F.regexp_extract("id", "[^/]+$", 0))
+        return df.select(F.col("id").alias(name), F.regexp_extract(base, r"^(.+?)(\.[^.]*)?$", 1).alias("stem")).where("stem <> ''")
+
+    return stem(media, "source").join(unique_key(stem(files, "target"), "stem", "target"), "stem").where("source <> target").select("source", "target")

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import CODE_TYPES, CONCEPT_KINDS, EDGE_TYPES, HEADING_SOURCES, NODE_TYPES, PROVENANCE
@@ -99,11 +99,46 @@ def violations(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [broken(nodes, node_rules, F.col("id")), broken(links, link_rules, pair), *lost, twice])
 
 
-def citations(answer: DataFrame, ids: DataFrame, pattern: str = r"\[([^\[\]]+)\]") -> DataFrame:
-    """answer (id, text): the bracketed ids that the subgraph holds, in order, once each:
-    answer_id, ordinal, node_id."""
-    cited = answer.select(F.col("id").alias("answer_id"), F.posexplode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("ordinal", "node_id"))
-    return cited.join(ids.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi").select("answer_id", "ordinal", "node_id")
+# Fixed patterns: how an answer cites a node or an edge.
+NODE_CITATION = r"\[node:([^\]]+)\]"
+EDGE_CITATION = r"\[edge:([^\]\-]+)->([^\]:]+):([^\]]+)\]"
+CITED = "answer_id", "kind", "ordinal", "node_id", "source", "target", "type"
+
+
+def citations(answers: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """answers (id, text): what each cites that the subgraph holds, once each: answer_id, kind (node or
+    edge), ordinal (of the kind in the text, from 0), node_id, source, target, type. Everything else in
+    brackets is no citation."""
+    none = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
+
+    def said(pattern, group):
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda v: F.trim(v))
+
+    cited = answers.select(F.col("id").alias("answer_id"), F.posexplode(F.array_distinct(said(NODE_CITATION, 1))).alias("ordinal", "node_id"))
+    held = cited.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    ends = F.arrays_zip(*[said(EDGE_CITATION, k + 1).alias(c) for k, c in enumerate(CITED[4:])])
+    crossed = answers.select(F.col("id").alias("answer_id"), F.posexplode(F.array_distinct(ends)).alias("ordinal", "e")).select("answer_id", "ordinal", "e.*")
+    crossed = crossed.join(links.select(*CITED[4:]), list(CITED[4:]), "left_semi")
+    return held.select("answer_id", F.lit("node").alias("kind"), "ordinal", "node_id", *none(*CITED[4:])).unionByName(
+        crossed.select("answer_id", F.lit("edge").alias("kind"), "ordinal", *none("node_id"), *CITED[4:])
+    )
+
+
+def fallback_citations(hits: DataFrame, nodes: DataFrame, links: DataFrame, max_nodes: int = 5, max_edges: int = 3) -> DataFrame:
+    """What an answer without valid citations cites: the best ``max_nodes`` hits (id, rank) of the
+    subgraph and the first ``max_edges`` edges, by ends and type, that touch a hit. kind, ordinal,
+    node_id, source, target, type."""
+    keep = hits.select("id", "rank").groupBy("id").agg(F.min("rank").alias("rank"))
+    first = keep.join(nodes.select("id"), "id", "left_semi").orderBy("rank", "id").limit(max_nodes)
+    ids = keep.select("id")
+    touching = links.select(*CITED[4:]).join(ids.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(
+        links.select(*CITED[4:]).join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    )
+    edges = touching.distinct().orderBy(*CITED[4:]).limit(max_edges)
+    number = lambda *order: (F.row_number().over(Window.orderBy(*order)) - 1).alias("ordinal")  # noqa: E731  (a few rows)
+    return first.select(F.lit("node").alias("kind"), number("rank", "id"), F.col("id").alias("node_id"), *[F.lit(None).cast("string").alias(c) for c in CITED[4:]]).unionByName(
+        edges.select(F.lit("edge").alias("kind"), number(*CITED[4:]), F.lit(None).cast("string").alias("node_id"), *CITED[4:])
+    )
 
 
 def cache_probe(wanted: DataFrame, store: DataFrame) -> DataFrame:
@@ -123,15 +158,20 @@ def cache_upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("kind", "key").agg(F.max_by(F.struct(*rest), "ord").alias("r")).select("kind", "key", "r.*")
 
 
+# Fixed lines of a DOT file.
+DOT_HEAD, DOT_TAIL = ["digraph G {", '  rankdir="LR";'], ["}"]
+
+
 def dot_lines(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """section, line of a DOT file, to be written in order of (section, line's ord)."""
+    """section (1 nodes, 2 links), ord (of the document; null where it has none), line."""
     escape = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    place = lambda df: (F.col("ord") if "ord" in df.columns else F.lit(None)).cast("long").alias("ord")
     label = F.concat(escape(F.col("id")), F.lit("\\n("), escape(F.col("type")), F.lit(")"))
-    n = nodes.select(F.lit(1).alias("section"), F.concat(F.lit('  "'), escape(F.col("id")), F.lit('" [label="'), label, F.lit('"];')).alias("line"))
+    n = nodes.select(F.lit(1).alias("section"), place(nodes), F.concat(F.lit('  "'), escape(F.col("id")), F.lit('" [label="'), label, F.lit('"];')).alias("line"))
     e = links.select(
-        F.lit(2).alias("section"),
+        F.lit(2).alias("section"), place(links),
         F.concat(F.lit('  "'), escape(F.col("source")), F.lit('" -> "'), escape(F.col("target")), F.lit('" [label="'), escape(F.col("type")), F.lit('"];')).alias("line"),
-    )
+    )
     return n.unionByName(e)
 
 

@@ -93,8 +93,12 @@ def inventory(spark, root: str, patterns: list[str] = (), max_size: int = 10_485
 def contents(spark, root: str, files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """id, content (binary) of plain, readable files, read on the executors."""
     names = files.where("type = 'file' and not symlink and skipped is null").select("id")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = os.path.abspath(root).rstrip("/")
+    # The inventory was listed by this driver; only its files are opened.
+    paths = [f"{base}/" + re.sub(r"([\\*?\[\]{}])", r"\\\1", r.id) for r in names.toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], "id string, content binary")
+    raw = spark.read.format("binaryFile").load(paths)
     path = F.url_decode(F.regexp_replace(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B")), "^" + re.escape(base) + "/", ""))
     content = F.col("content") if max_bytes is None else F.substring("content", 1, max_bytes)
     return raw.select(path.alias("id"), content.alias("content")).join(names, "id", "left_semi")

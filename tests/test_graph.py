@@ -36,7 +36,7 @@ def test_two_sure_hops_beat_one_unsure(spark):
         G.find_path(nodes, links, "end-b", "start-a")
     with pytest.raises(G.PathTooLongError):
         G.find_path(nodes, links, "start-a", "end-b", max_hops=1)
-    assert "start-a —[mentions/extracted, confidence=0.95]→ mid" in G.path_sentence("a", "b", ids, steps)
+    assert "start-a -(mentions, extracted, 95%)-> mid" in G.path_sentence("a", "b", ids, steps)
 
 
 def test_neighbourhood_and_cap(spark):
