@@ -361,7 +361,7 @@ class WordEncoder:
         return self.encode_all([text])[0]
 
 
-def write_codes(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, shard_tokens: int = 1 << 20) -> None:
+def write_codes(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, shard_tokens: int = 1 << 18) -> None:
     """Write ids of every whole text, each document's followed by ``end_id``, in ascending doc_id
     order, as a table of shards at ``path``: part and seq (the order of shards), doc_ids (i64) and
     ends (u64, places after each document) as little-endian arrays, tokens, codes.
@@ -418,7 +418,8 @@ def write_codes(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | No
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = ordered.mapInArrow(run, "seq int, doc_ids binary, null_ids binary, ends binary, tokens long, codes binary")
-    shards.select(F.spark_partition_id().alias("part"), "*").write.mode("overwrite").parquet(path)
+    # A shard is a large value: pages are cut by size after each, not after the usual hundred rows.
+    shards.select(F.spark_partition_id().alias("part"), "*").write.mode("overwrite").option("parquet.page.size.row.check.min", "1").parquet(path)
 
 
 def read_codes(spark, path: str) -> DataFrame:
