@@ -1,17 +1,20 @@
 """Approximate nearest neighbours over learned partitions.
 
 A bounded sample gives a neighbour graph; balanced cuts of that graph give partitions; a small
-network learns which partitions a vector's neighbours lie in. Every row is stored in its most
-probable partition, every query visits the several most probable ones and reranks all it finds
-there by exact distance. How many are visited is set on the sample, for a stated recall.
+network learns which partitions a vector's neighbours lie in. A partition that holds too many rows
+gets a graph, cuts and a network of its own, so cells grow in number with the table. Every row is
+stored in its most probable cell, every query visits the several most probable ones and reranks
+all it finds there by exact distance. How many are visited is set on rows of the sample that the
+networks were not fitted on, for a stated recall.
 """
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import fit_in_task, settle
 
 
 # --- graph and partitions -------------------------------------------------------------------
@@ -88,21 +91,39 @@ def balanced_partition(near: np.ndarray, parts: int, seed: int = 7, slack: float
 class Router:
     """One hidden layer; softmax over partitions."""
 
-    def __init__(self, mean, scale, w1, b1, w2, b2, probes: int = 1, recall: float = 0.0):
-        self.mean, self.scale, self.w1, self.b1, self.w2, self.b2 = mean, scale, w1, b1, w2, b2
-        self.probes, self.recall = probes, recall
+    def __init__(self, mean, scale, w1, b1, w2, b2):
+        self.mean, self.scale = mean, scale
+        self.w = [a.astype(np.float32) for a in (w1, b1, w2, b2)]
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+    @property
+    def parts(self) -> int:
+        return self.w[2].shape[1]
 
-    def ranked(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-self.scores(x), axis=1, kind="stable")
+    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
+        w1, b1, w2, b2 = self.w
+        s = np.maximum(((x - self.mean) / self.scale).astype(np.float32) @ w1 + b1, 0) @ w2 + b2
+        s -= s.max(axis=1, keepdims=True)
+        return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return self.log_probabilities(x).argmax(axis=1)
+
+
+def one_part(dim: int) -> Router:
+    return Router(np.zeros(dim), 1.0, np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
 
 
-def fit(x: np.ndarray, parts: int = 16, k: int = 10, recall: float = 0.97, hidden: int = 96, epochs: int = 60, seed: int = 7) -> Router:
-    """Partition the neighbour graph of the sample, learn to route, and take the fewest probes that
-    find ``recall`` of the sample's own neighbours."""
+def held_back(n: int) -> np.ndarray:
+    """Every fourth row of a sample, in its order of hashes: what no network is fitted on."""
+    return np.arange(n) % 4 == 3
+
+
+def fit(x: np.ndarray, parts: int = 16, k: int = 10, hidden: int = 96, epochs: int = 60, seed: int = 7) -> Router:
+    """Partition the neighbour graph of ``x`` and learn to route. Too few rows give one part."""
     n, dim = x.shape
+    parts = min(parts, 1 << int(np.log2(max(2, n // 4))))
+    if n <= 4 * k or parts < 2:
+        return one_part(dim)
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(axis=0), x.std() or 1.0
     near = neighbour_graph(x, min(k, n - 1))
@@ -133,19 +154,48 @@ def fit(x: np.ndarray, parts: int = 16, k: int = 10, recall: float = 0.97, hidde
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 p[i] -= 0.003 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    router = Router(mean, scale, *p)
-    ranked = router.ranked(x)
-    home = ranked[:, 0]
-    place = np.empty_like(ranked)
-    np.put_along_axis(place, ranked, np.arange(parts)[None, :].repeat(n, 0), axis=1)
-    # The visit at which each neighbour's home is reached.
-    visit = place[np.arange(n)[:, None], home[near]]
-    for probes in range(1, parts + 1):
-        found = float((visit < probes).mean())
-        if found >= recall:
-            break
-    router.probes, router.recall = probes, found
-    return router
+    return Router(mean, scale, *p)
+
+
+class Routes:
+    """A router over parts and, below crowded parts, routers over their cells: ``width`` + 1 at most."""
+
+    def __init__(self, top: Router, below: dict[int, Router], width: int):
+        self.top, self.below, self.width, self.probes, self.recall = top, below, width, 1, 0.0
+        self.cells = np.array([p * width + s for p in range(top.parts) for s in range(below[p].parts if p in below else 1)])
+
+    def home(self, x: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
+        """The cell each row is stored in."""
+        part = self.top.home(x) if part is None else part
+        cell = part.astype(np.int64) * self.width
+        for p in np.unique(part).tolist():
+            if p in self.below:
+                mine = part == p
+                cell[mine] += self.below[p].home(x[mine])
+        return cell
+
+    def ranked(self, x: np.ndarray) -> np.ndarray:
+        """All cells for each row, the most probable first."""
+        top = self.top.log_probabilities(x)
+        score = [top[:, [p]] + (self.below[p].log_probabilities(x) if p in self.below else 0) for p in range(self.top.parts)]
+        return self.cells[np.argsort(-np.concatenate(score, axis=1), axis=1, kind="stable")]
+
+    def settle_probes(self, x: np.ndarray, k: int, recall: float) -> "Routes":
+        """Visit the fewest cells that hold ``recall`` of the neighbours, among the whole sample
+        ``x``, of those of its rows that no network was fitted on."""
+        asked = np.flatnonzero(held_back(len(x)))
+        if not len(asked):
+            self.probes, self.recall = len(self.cells), 1.0
+            return self
+        near = neighbour_graph(x, min(k, len(x) - 1))[asked]
+        place = np.zeros((len(asked), int(self.cells.max()) + 1), np.int64)
+        np.put_along_axis(place, self.ranked(x[asked]), np.arange(len(self.cells))[None, :].repeat(len(asked), 0), axis=1)
+        visit = np.sort(place[np.arange(len(asked))[:, None], self.home(x)[near]].ravel())
+        reached = np.searchsorted(visit, np.arange(1, len(self.cells) + 1)) / len(visit)
+        enough = np.flatnonzero(reached >= recall)
+        self.probes = int(enough[0]) + 1 if len(enough) else len(self.cells)
+        self.recall = float(reached[self.probes - 1])
+        return self
 
 
 # --- search ---------------------------------------------------------------------------------
@@ -168,54 +218,144 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def distinct_nearest(rows: DataFrame, k: int) -> DataFrame:
+    """rows (vec_id, vec) without the copies that no answer can hold: of equal vectors only the
+    k + 1 smallest ids can be among the k nearest of any query, since ties go to smaller ids. The
+    limit is applied before the shuffle too, so a vector that a third of the rows share stays small."""
+    same = Window.partitionBy("_key", "vec").orderBy("vec_id")
+    ranked = rows.withColumn("_key", F.xxhash64("vec")).withColumn("_rank", F.dense_rank().over(same)).where(F.col("_rank") <= k + 1)
+    return ranked.groupBy("_key", "vec", "vec_id").agg(F.lit(1).alias("_one")).select("vec_id", "vec")
+
+
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    return rows.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("vec")).limit(most)
+
+
+def _power(n: float, least: int, most: int) -> int:
+    return 1 << int(np.clip(np.round(np.log2(max(n, 1))), least, most))
+
+
+def _crowded_routers(parted: DataFrame, crowded: dict[int, int], sample: int, cell: int, width: int, k: int) -> dict[int, Router]:
+    """A router for each crowded part, fitted in executor tasks on at most ``sample`` of its rows,
+    those of the smallest hash. What comes back is at most ``width`` routers."""
+    spark = parted.sparkSession
+    share = spark.createDataFrame([(p, min(1.0, 1.2 * sample / n)) for p, n in crowded.items()], "part int, share double")
+    # Hashes spread evenly over 2^63: about 1.2 samples of rows leave each part.
+    place = F.xxhash64("vec_id", "vec", F.lit(3))
+    chosen = parted.join(F.broadcast(share), "part").withColumn("_at", place).where("(_at & 9223372036854775807) <= share * 9223372036854775807D")
+
+    def run(batches):
+        here, ids, held = None, 0, []
+
+        def learnt():
+            x = np.concatenate(held)[:sample]
+            return pa.record_batch([pa.array([here], pa.int32()), pa.array([cloudpickle.dumps(fit(x, _power(crowded[here] / cell, 1, int(np.log2(width))), k))], pa.binary())], names=["part", "model"])
+
+        for batch in batches:
+            part, x = batch.column(0).to_numpy(zero_copy_only=False), None
+            for p in dict.fromkeys(part.tolist()):
+                if p != here:
+                    if held:
+                        yield learnt()
+                    here, ids, held = p, 0, []
+                if ids < sample:
+                    x = _matrix(batch.column(1)) if x is None else x
+                    held.append(x[part == p])
+                    ids += len(held[-1])
+        if held:
+            yield learnt()
+
+    rows = chosen.select("part", "vec", "_at", "vec_id").repartition(len(crowded), "part").sortWithinPartitions("part", "_at", "vec_id")
+    return {r.part: cloudpickle.loads(r.model) for r in rows.select("part", "vec").mapInArrow(run, "part int, model binary").collect()}
+
+
 def search(
-    vectors: DataFrame, query_filter: str = "vec_id % 100 = 0", k: int = 10, sample: int = 4096, recall: float = 0.97, block: int = 8192, parts: int | None = None
-) -> tuple[DataFrame, Router | None]:
-    """(query_id, rank, vec_id, score), router. Queries are the rows of ``query_filter``, against
+    vectors: DataFrame,
+    query_filter: str = "vec_id % 100 = 0",
+    k: int = 10,
+    sample: int = 4096,
+    recall: float = 0.97,
+    block: int = 8192,
+    parts: int | None = None,
+    cell: int = 3000,
+    width: int = 64,
+) -> tuple[DataFrame, Routes | None]:
+    """(query_id, rank, vec_id, score), routes. Queries are the rows of ``query_filter``, against
     every other row.
 
-    The router is fitted on at most ``sample`` rows, those of the smallest hash of id; every row is
-    indexed. A partition is searched in blocks of about ``block`` rows, as many as its size asks
-    for, and queries stream past one block at a time, so neither a crowded partition nor many
-    equal vectors fill a task. Vectors that are null, zero, of another length than most, or hold
-    null or non-finite components take no part, nor do null ids; an id that repeats counts once,
-    by its nearest vector. Equal distances go to the smaller vec_id. Other columns are ignored.
+    Networks are fitted, in executor tasks, on at most ``sample`` rows each, those of the smallest
+    hash of id; every row is indexed but copies of a vector beyond its k + 1 smallest ids, which
+    cannot be answers. Parts, and cells below parts of over ``2 * cell`` rows, aim at ``cell`` rows;
+    a router has ``width`` parts at most, a power of two.
+    A query visits more cells than the learned number where those hold k other ids too few. A cell
+    is searched in blocks of about ``block`` rows and queries stream past one block at a time, so
+    a crowded cell does not fill a task. Vectors that are null, zero, of another length than most, or
+    hold null or non-finite components take no part, nor do null ids; an id that repeats counts
+    once, by its nearest vector. Equal distances go to the smaller vec_id. Other columns are ignored.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = settle(usable(vectors))
+    clean = usable(vectors)
+    rows = settle(distinct_nearest(clean, k))
     total = rows.count()
     if total < 2:
         return spark.createDataFrame([], schema), None
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    x = np.array([r.vec for r in chosen])
-    if parts is None:
-        parts = int(2 ** np.clip(np.round(np.log2(max(total, 1) / 3000)), 2, 6))
-    parts = min(parts, 1 << int(np.log2(max(2, len(x) // 4))))
-    router = fit(x, parts, k, recall) if len(x) > 4 * k else Router(x.mean(axis=0), 1.0, np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1, 1.0)
-    sent = spark.sparkContext.broadcast(router)  # a few small matrices
-
-    def route(probes):
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                best = sent.value.ranked(_matrix(batch.column(1)))[:, :probes]
-                at = np.repeat(np.arange(batch.num_rows), best.shape[1])
-                out = batch.take(pa.array(at))
-                yield pa.record_batch([pa.array(best.ravel().astype(np.int32)), out.column(0), out.column(1)], names=["part", "vec_id", "vec"])
-
-        return run
-
-    columns = "part int, vec_id long, vec array<double>"
-    stored = settle(rows.mapInArrow(route(1), columns))
-    sizes = {r.part: -(-r.n // block) for r in stored.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
-    blocks = F.element_at(F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv]), F.col("part"))
-    asked = rows.where(query_filter).mapInArrow(route(router.probes), columns)
-    candidates = stored.select("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), blocks).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "vec")
-    queries = asked.where(blocks.isNotNull()).select(
-        "part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("kind"), "vec_id", "vec"
+    parts = parts or _power(total / cell, 2, int(np.log2(width)))
+
+    def learn(table):
+        x = _matrix(table.column("vec").combine_chunks())
+        return fit(x[~held_back(len(x))], parts, k)
+
+    chosen = _sample(rows, sample)
+    top = fit_in_task(chosen, learn)
+
+    def put(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([pa.array(top.home(_matrix(batch.column(1))).astype(np.int32)), *batch.columns], names=["part", "vec_id", "vec"])
+
+    parted = settle(rows.mapInArrow(put, "part int, vec_id long, vec array<double>"))
+    sizes = {r.part: r.n for r in parted.groupBy("part").agg(F.count("*").alias("n")).collect()}  # ``width`` rows at most
+    crowded = {p: n for p, n in sizes.items() if n > 2 * cell and parts == width}
+    below = _crowded_routers(parted, crowded, sample, cell, width, k) if crowded else {}
+    routes = Routes(top, below, width)
+    routes = fit_in_task(chosen, lambda table: routes.settle_probes(_matrix(table.column("vec").combine_chunks()), k, recall))
+    sent = spark.sparkContext.broadcast(routes)  # ``width`` + 1 small networks at most
+
+    def store(batches):
+        for batch in batches:
+            if batch.num_rows:
+                home = sent.value.home(_matrix(batch.column(2)), batch.column(0).to_numpy(zero_copy_only=False))
+                yield pa.record_batch([pa.array(home.astype(np.int32)), batch.column(1), batch.column(2)], names=["cell", "vec_id", "vec"])
+
+    stored = settle(parted.mapInArrow(store, "cell int, vec_id long, vec array<double>"))
+    # Rows of each cell, and ids that no cell before it holds: a row a cell, width * width at most.
+    held = stored.groupBy("cell").agg(F.count("*").alias("n"))
+    first = stored.groupBy("vec_id").agg(F.min("cell").alias("cell")).groupBy("cell").agg(F.count("*").alias("own"))
+    held = held.join(first, "cell", "left").collect()
+    blocks, own = np.zeros(width * width, np.int64), np.zeros(width * width, np.int64)
+    for r in held:
+        blocks[r.cell], own[r.cell] = -(-r.n // block), r.own or 0
+
+    def visit(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):  # all cells are ranked for 512 queries at a time
+                some = batch.slice(a, 512)
+                cells = sent.value.ranked(_matrix(some.column(1)))
+                short = (np.cumsum(own[cells], axis=1) < k + 1).sum(axis=1) + 1
+                seen = np.arange(cells.shape[1])[None, :] < np.maximum(short, sent.value.probes)[:, None]
+                times = np.where(seen, blocks[cells], 0).ravel()
+                at = np.repeat(np.repeat(np.arange(len(cells)), cells.shape[1]), times)
+                number = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                out = some.take(pa.array(at))
+                columns = [np.repeat(cells.ravel(), times).astype(np.int32), number.astype(np.int32), np.ones(len(at), np.int32)]
+                yield pa.record_batch([*map(pa.array, columns), out.column(0), out.column(1)], names=["part", "block", "kind", "vec_id", "vec"])
+
+    of_cell = F.broadcast(spark.createDataFrame([(r.cell, int(blocks[r.cell])) for r in held], "cell int, blocks int"))
+    candidates = stored.join(of_cell, "cell").select(
+        F.col("cell").alias("part"), F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "vec"
     )
+    queries = clean.where(query_filter).distinct().mapInArrow(visit, "part int, block int, kind int, vec_id long, vec array<double>")
 
     def rerank(batches):
         here, parts_x, ids, data, norms, starts = None, [], None, None, None, None
@@ -277,4 +417,4 @@ def search(
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score"), router
+    return ranked.select("query_id", "rank", "vec_id", "score"), routes

@@ -68,3 +68,50 @@ def test_small_tables(spark):
     assert A.search(spark.createDataFrame([], schema))[0].count() == 0
     two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 2.0])], schema)
     assert [tuple(r) for r in A.search(two)[0].collect()] == [(0, 1, 1, 2.0)]
+
+
+def clustered(n, dim=8, seed=5):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((40, dim)) * 3
+    x = (x[rng.integers(0, 40, n)] + rng.standard_normal((n, dim))).astype(np.float32)
+    return [(i, v.tolist()) for i, v in enumerate(x)]
+
+
+def recall_of(got, rows, k=10):
+    x = np.array([v for _, v in rows], float)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = wanted = 0
+    for q in range(0, len(rows), 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        want = set(np.lexsort((np.arange(len(d)), d))[:k].tolist())
+        hit, wanted = hit + len(want & found.get(q, set())), wanted + k
+    return hit / wanted
+
+
+def test_recall_far_beyond_the_sample(spark):
+    rows = clustered(12000)
+    got, routes = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), sample=512, parts=16)
+    assert recall_of(got.collect(), rows) >= 0.9 and routes.probes < 16
+
+
+def test_crowded_parts_get_routers_of_their_own(spark):
+    rows = clustered(12000)
+    got, routes = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), sample=512, parts=8, cell=200, width=8)
+    assert routes.below and len(routes.cells) > 16 and routes.probes < len(routes.cells)
+    assert recall_of(got.collect(), rows) >= 0.9
+
+
+def test_ten_answers_from_small_parts(spark):
+    rows = clustered(90)
+    got = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 7 = 0", parts=16, recall=0.0)[0].collect()
+    assert all(sum(r.query_id == q for r in got) == 10 for q in range(0, 90, 7))
+
+
+def test_copies_beyond_the_smallest_ids_cannot_be_answers(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(400)] + [(i, [3.0, float(i)]) for i in range(400, 500)]
+    got = A.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), recall=2.0)[0].collect()
+    by = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 300, 400)}
+    assert by[0] == list(range(1, 11)) and by[300] == list(range(10)) and by[400] == list(range(401, 411))
