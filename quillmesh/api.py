@@ -26,6 +26,16 @@ class EndpointUnresolvedError(G.PathError):
         self.failed = failed
 
 
+def now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def stats_to_dict(stats: DataFrame) -> dict:
+    """``operators.edges.stats``, a few rows, as {"node": {type: n}, "edge": {type: n}}."""
+    rows = stats.collect()
+    return {what: {r.type: r.n for r in rows if r.what == what} for what in ("node", "edge")}
+
+
 # --- index ----------------------------------------------------------------------------------
 
 ENTITY = "file string, language string, kind string, name string, start_line int, end_line int"
@@ -195,22 +205,34 @@ def _with_text_columns(nodes: DataFrame) -> DataFrame:
     return nodes.select("*", *[F.lit(None).cast("string").alias(c) for c in X.TEXT_KEYS if c not in nodes.columns])
 
 
+def _hybrid(scored: DataFrame, phrase: str, embed=None, prefilter: int = 200, notes: list | None = None) -> DataFrame:
+    """Adds ``score``: ``fuzzy`` or, for the ``prefilter`` best with text ``t``, the cosine of their
+    vectors if that is higher. ``embed`` takes texts and gives as many vectors; one that fails leaves
+    the fuzzy scores and a line in ``notes``."""
+    plain = scored.withColumn("score", F.col("fuzzy"))
+    if embed is None:
+        return plain
+    few = scored.orderBy(F.desc("fuzzy"), "id").limit(prefilter).select("id", "t").collect()  # bounded by prefilter
+    try:
+        vectors = [[float(x) for x in v] for v in embed([phrase, *[r.t for r in few]])]
+        if len(vectors) != len(few) + 1:
+            raise ValueError(f"{len(vectors)} vectors for {len(few) + 1} texts")
+    except Exception as e:  # a model is never needed
+        if notes is not None:
+            notes.append(f"matched without vectors: {e}")
+        return plain
+    table = scored.sparkSession.createDataFrame([(r.id, v) for r, v in zip(few, vectors[1:])], "id string, v array<double>").dropDuplicates(["id"])
+    asked = F.array(*[F.lit(x) for x in vectors[0]]).cast("array<double>")
+    near = F.coalesce(X.cosine(F.col("v"), asked), F.lit(0.0))
+    return scored.join(F.broadcast(table), "id", "left").withColumn("score", F.greatest("fuzzy", near)).drop("v")
+
+
 def match(nodes: DataFrame, phrase: str, threshold: float = 0.55, top_n: int = 3, embed=None, prefilter: int = 200) -> list:
     """Best nodes by fuzzy score and, with ``embed`` (texts to vectors), cosine of the ``prefilter``
     best; ties: concepts, shorter ids, ids. A failing model leaves the fuzzy scores."""
     nodes = _with_text_columns(nodes)
     scored = nodes.select("id", "type", X.search_text(nodes.columns).alias("t"), X.fuzzy_score(phrase, nodes.columns).alias("fuzzy"))
-    scored = scored.withColumn("score", F.col("fuzzy"))
-    if embed is not None:
-        few = scored.orderBy(F.desc("fuzzy"), "id").limit(prefilter).collect()  # bounded by prefilter
-        try:
-            asked, *have = embed([phrase, *[r.t for r in few]])
-            table = scored.sparkSession.createDataFrame([(r.id, [float(x) for x in v]) for r, v in zip(few, have)], "id string, v array<double>")
-            q = F.array(*[F.lit(float(x)) for x in asked])
-            scored = scored.join(F.broadcast(table), "id", "left")
-            scored = scored.withColumn("score", F.greatest("fuzzy", F.coalesce(X.cosine(F.col("v"), q), F.lit(0.0)))).drop("v")
-        except Exception:  # a model is never needed
-            pass
+    scored = _hybrid(scored, phrase, embed, prefilter)
     best = scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), (F.col("type") != "concept"), F.length("id"), "id")
     return best.limit(max(1, top_n)).select("id", "type", "fuzzy", "score").collect()
 
@@ -236,8 +258,10 @@ def _around(nodes, links, seeds, hops, cap):
     return *E.induced(nodes, links, F.broadcast(ids)), cut
 
 
-def query(nodes: DataFrame, links: DataFrame, question: str, k: int = 20, hops: int = 1, threshold: float = 0.40, cap: int = 500):
-    """(nodes, links, hits, truncated): chunks that answer the question and what is around them."""
+def query(nodes: DataFrame, links: DataFrame, question: str, k: int = 20, hops: int = 1, threshold: float = 0.40, cap: int = 500,
+          embed=None, prefilter: int = 200, notes: list | None = None):
+    """(nodes, links, hits, truncated): chunks that answer the question and what is around them.
+    ``embed`` and ``prefilter`` as in ``match``; what it could not do is added to ``notes``."""
     if not question.strip():
         raise ValueError("the question is blank")
     if not 1 <= k <= 200:
@@ -246,9 +270,10 @@ def query(nodes: DataFrame, links: DataFrame, question: str, k: int = 20, hops:
     body = F.nullif(F.trim("text"), F.lit(""))
     first = F.row_number().over(Window.partitionBy("id").orderBy(F.col("ord") if "ord" in nodes.columns else F.col("type")))
     corpus = nodes.withColumn("n", first).where("n = 1").withColumn("chunk_text", F.coalesce(body, X.search_text(nodes.columns))).where("chunk_text <> ''")
-    scored = corpus.select("id", "type", body.isNotNull().alias("has_body"), X.chunk_score(question, corpus.columns).alias("score"))
+    scored = corpus.select("id", "type", body.isNotNull().alias("has_body"), F.col("chunk_text").alias("t"), X.chunk_score(question, corpus.columns).alias("fuzzy"))
+    scored = _hybrid(scored, question, embed, prefilter, notes)
     order = (F.desc("score"), F.desc("has_body"), F.col("type") != "concept", F.length("id"), F.col("id"))
-    hits = scored.where(F.col("score") >= threshold).orderBy(*order).limit(k).collect()
+    hits = scored.where(F.col("score") >= threshold).orderBy(*order).limit(k).select("id", "type", "has_body", "fuzzy", "score").collect()
     if not hits:
         raise NoEvidenceError(question)
     n, e, cut = _around(nodes, links, [r.id for r in hits], hops, cap)
@@ -271,6 +296,6 @@ def merge(spark, paths: list[str], output: str) -> str:
     nodes, links = M.merge_graphs([(n, e) for n, e, _ in read])
     roots = list(dict.fromkeys(m.get("project_root") for _, _, m in read if m.get("project_root")))
     meta = M.shared_or_drop([{k: v for k, v in m.items() if k not in ("project_root", "generated_at")} for _, _, m in read])
-    meta |= {"generated_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "merged": True, "merged_from": [str(p) for p in paths]}
+    meta |= {"generated_at": now(), "merged": True, "merged_from": [str(p) for p in paths]}
     meta |= {"project_root": roots[0]} if len(roots) == 1 else {"project_roots": roots}
     return J.write_graph(output, nodes, links, meta)

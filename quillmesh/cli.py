@@ -1,4 +1,4 @@
-"""python -m quillmesh.cli init|index|merge|status|explain|path|query|visualize"""
+"""python -m quillmesh.cli init|index|merge|status|explain|path|query|visualize|serve"""
 
 import argparse
 import json
@@ -15,7 +15,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillmesh")
     sub = parser.add_subparsers(dest="command", required=True)
     for name, arguments in {
-        "index": ["root"], "status": [], "explain": ["concept"], "path": ["start", "end"], "query": ["question"], "visualize": ["output"], "merge": ["inputs"], "init": ["file"],
+        "index": ["root"], "status": [], "explain": ["concept"], "path": ["start", "end"], "query": ["question"], "visualize": ["output"], "merge": ["inputs"], "init": ["file"], "serve": ["port"],
     }.items():
         p = sub.add_parser(name)
         for a in arguments:
@@ -38,12 +38,12 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     from pyspark.sql import SparkSession
 
-    from . import api
+    from . import answers, api, serve
     from .operators.edges import stats
     from .operators.merge import DOT_HEAD, DOT_TAIL, LargeRepoError, dot_lines
     from .sources import graph_json
 
-    if args.command not in ("index", "merge") and not os.path.exists(have.output):
+    if args.command not in ("index", "merge", "serve") and not os.path.exists(have.output):
         print(f"no graph at {have.output}", file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("quillmesh").getOrCreate()
@@ -57,6 +57,8 @@ def main(argv: list[str] | None = None) -> int:
             print(graph_json.write_graph(target, nodes, links, {"project_root": os.path.abspath(args.root)}, have.compress))
         elif args.command == "merge":
             api.merge(spark, args.inputs, have.output)
+        elif args.command == "serve":
+            serve.server(spark, int(args.port)).serve_forever()
         else:
             nodes, links, _ = graph_json.read_graph(spark, have.output)
             if args.command == "status":
@@ -66,7 +68,7 @@ def main(argv: list[str] | None = None) -> int:
             elif args.command == "path":
                 print(json.dumps(_path(api, nodes, links, args, have), indent=2))
             elif args.command == "query":
-                print([r.id for r in api.query(nodes, links, args.question, have.query_k, have.query_hops, have.query_match_threshold, have.query_node_cap)[2]])
+                print(json.dumps(answers.ask(spark, args.question, have.output, None, have.query_k, have.query_hops, have.query_match_threshold, have.query_node_cap), indent=2))
             else:
                 lines = [r.line for r in dot_lines(nodes, links).orderBy("section", "ord", "line").toLocalIterator()]
                 graph_json.write_atomic(args.output, "\n".join([*DOT_HEAD, *lines, *DOT_TAIL]) + "\n")

@@ -21,10 +21,14 @@ class PathTooLongError(PathError):
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that the session names."""
+    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names. Where it is unset, a
+    session on this machine alone gets one of its own; on a cluster no other folder is shared."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmesh-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmesh-"))
     return df.checkpoint(eager=True)
 
 
