@@ -4,8 +4,8 @@ A bounded sample gives a neighbour graph; balanced cuts of that graph give parti
 network learns which partitions a vector's neighbours lie in. A partition that holds too many rows
 gets a graph, cuts and a network of its own, so cells grow in number with the table. Every row is
 stored in its most probable cell, every query visits the several most probable ones and reranks
-all it finds there by exact distance. How many are visited is set on rows of the sample that the
-networks were not fitted on, for a stated recall.
+all it finds there by exact distance. How many are visited is set, for a stated recall, on rows of
+the sample that the first network was not fitted on (one below a crowded part may have met some).
 """
 
 import numpy as np
@@ -114,7 +114,7 @@ def one_part(dim: int) -> Router:
 
 
 def held_back(n: int) -> np.ndarray:
-    """Every fourth row of a sample, in its order of hashes: what no network is fitted on."""
+    """Every fourth row of a sample, in its order of hashes: what the first network is not fitted on."""
     return np.arange(n) % 4 == 3
 
 
@@ -182,7 +182,7 @@ class Routes:
 
     def settle_probes(self, x: np.ndarray, k: int, recall: float) -> "Routes":
         """Visit the fewest cells that hold ``recall`` of the neighbours, among the whole sample
-        ``x``, of those of its rows that no network was fitted on."""
+        ``x``, of those of its rows that are held back."""
         asked = np.flatnonzero(held_back(len(x)))
         if not len(asked):
             self.probes, self.recall = len(self.cells), 1.0
