@@ -5,7 +5,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import api
+from . import api, models
 from .operators import merge as M
 from .sources import graph_json as J
 
@@ -55,7 +55,7 @@ def answer(question: str, hits: list[str], nodes: DataFrame, links: DataFrame, c
     if chat is None:
         return other("skipped", "no model is set")
     try:
-        if list_models is not None and model not in list_models():
+        if list_models is not None and not models.is_there(model or "", list_models()):
             return other("skipped", f"the model {model} is not there")
     except Exception as e:
         return other("skipped", f"no list of models: {e}")

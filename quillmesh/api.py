@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import edges as E
+from .operators import enrich as N
 from .operators import expand as G
 from .operators import extract
 from .operators import links as L
+from .operators import media
 from .operators import merge as M
 from .plans.model import slug
 from .sources import files as S
@@ -43,8 +45,12 @@ ENTITY = "file string, language string, kind string, name string, start_line int
 
 def index(spark, root: str, ignored: list[str] = (), include_docs: bool = True, max_file_size: int = 10_485_760,
           limits: dict | None = None, code_only: bool = False, scan_bytes: int = 262_144,
-          languages: list[str] | None = None, allow_large: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of a folder: inventory, references by name, code structure, documents."""
+          languages: list[str] | None = None, allow_large: bool = False, pdf=None, ocr=None, speech=None, chat=None,
+          confidence: float = 0.5, notes: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of a folder: inventory, references by name, code structure, documents and, by readers
+    of the caller's (``operators.media``, ``operators.enrich``), PDF outlines, texts of images, speech, and
+    concepts that a model finds. What these could not do is added to ``notes``."""
+    notes = [] if notes is None else notes
     spoken = S.language("id")
     if languages is not None:
         spoken = F.when(spoken.isin(*languages), spoken)
@@ -89,11 +95,22 @@ def index(spark, root: str, ignored: list[str] = (), include_docs: bool = True,
         nodes = nodes.unionByName(doc_nodes, allowMissingColumns=True)
         candidates += doc_edges
     nodes = G.settle(nodes)
+    pdf = pdf if include_docs else None
+    if pdf is not None or ocr is not None or speech is not None:
+        made, more, skipped = media.add_media(S.contents(spark, root, plain), nodes, pdf, ocr, speech)
+        nodes = G.settle(nodes.unionByName(made, allowMissingColumns=True))
+        candidates += more
+        notes += [f"{r.id}: {r.error}" for r in skipped.orderBy("id").toLocalIterator()]
     every = candidates[0]
     for c in candidates[1:]:
-        every = every.unionByName(c)
+        every = every.unionByName(c, allowMissingColumns=True)
     won = E.first_edge_wins(every, nodes)
-    return nodes, won.select("*", F.lit("extracted").alias("provenance"), F.lit(None).cast("double").alias("confidence"))
+    guessed = F.when(F.col("type") == "related_to", "inferred").otherwise("extracted")
+    links = won.select("*", guessed.alias("provenance"), F.lit(None).cast("double").alias("confidence"))
+    if chat is not None:
+        nodes, links, counts = N.enrich(nodes, G.settle(links), S.contents(spark, root, plain), chat, confidence)
+        notes.append(", ".join(f"{k} {n}" for k, n in counts.items()))
+    return nodes, links
 
 
 def _code_facts(batches):

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from . import api
 from .functions import text as X
 from .operators import edges as E
+from .operators import enrich as N
 from .operators import expand as G
 from .operators import links as L
 from .operators import merge as M
@@ -538,3 +540,42 @@ LEFT JOIN (SELECT source AS id, count(*) AS n FROM links GROUP BY source) o USIN
 def q29_evidence(spark, sf_dir):
     """What a summary says of a node: its links to both sides."""
     return E.degrees(nodes(spark, sf_dir), settled_links(spark, sf_dir)).select("id", "type", "links_out", "links_in")
+
+
+@_query("""
+WITH a AS (SELECT p_partkey, p_brand, p_size, unnest(['s' || (p_partkey % 150), 's' || p_size]) AS target FROM part),
+f AS (SELECT p_partkey, p_brand, p_size, min(target) AS target FROM (SELECT DISTINCT * FROM a WHERE target IN (SELECT 's' || s_suppkey FROM supplier)) GROUP BY ALL HAVING count(*) = 1),
+e AS (SELECT 's' || (p_partkey % 100) AS target, p_brand || (p_size % 7) AS name, 'part::' || p_partkey AS id FROM part),
+y AS (SELECT f.p_partkey, min(e.id) AS id FROM f JOIN e ON e.target = f.target AND e.name = p_brand || (f.p_size % 5) GROUP BY f.p_partkey HAVING count(*) = 1)
+SELECT 'f' || p_partkey AS source, coalesce(y.id, f.target) AS target FROM f LEFT JOIN y USING (p_partkey)""")
+def q30_imports(spark, sf_dir):
+    """Parts as statements with two candidate files each, suppliers as files, parts as their symbols."""
+    part, supplier = _t(spark, sf_dir, "part"), _t(spark, sf_dir, "supplier")
+    text = lambda c: c.cast("string")
+    named = lambda n: F.concat("p_brand", text(F.col("p_size") % n))
+    at = lambda n: F.concat(F.lit("s"), text(F.col("p_partkey") % n))
+    facts = part.select(
+        F.concat(F.lit("f"), text(F.col("p_partkey"))).alias("file"), F.lit("import").alias("fact"), F.col("p_partkey").cast("int").alias("seq"),
+        F.array(named(5)).alias("names"), F.array(at(150), F.concat(F.lit("s"), text(F.col("p_size")))).alias("candidates"),
+    )
+    files = supplier.select(F.concat(F.lit("s"), text(F.col("s_suppkey"))).alias("id"), F.lit("file").alias("type"))
+    symbols = part.select(at(100).alias("file"), named(7).alias("name"), _key("part", "p_partkey").alias("id"))
+    return api._imports(facts, files, symbols).select("source", "target")
+
+
+@_query(r"""
+WITH d AS (SELECT 'd' || doc_id AS file, text, trim(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '-') AS a, trim(regexp_replace(lower(lang), '[^a-z0-9]+', '-', 'g'), '-') AS b,
+  (doc_id % 10) / 10.0::DOUBLE AS ca, (doc_id % 7) / 6.0::DOUBLE AS cb FROM documents WHERE trim(substr(text, 1, 30), ' ' || chr(9) || chr(10) || chr(13)) <> '' AND source IS NOT NULL AND lang IS NOT NULL),
+e AS (SELECT file AS source, 'concept::' || a AS target, 0 AS stage, 'mentions' AS type, 'extracted' AS provenance FROM d WHERE ca >= 0.5
+  UNION ALL SELECT file, 'concept::' || b, 1, 'depends_on', 'inferred' FROM d WHERE cb >= 0.5)
+SELECT source, target, type, provenance FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY stage) AS rn FROM e) WHERE rn = 1""")
+def q31_replies(spark, sf_dir):
+    """Replies that name the source of every document as a concept and its language as what it needs."""
+    docs = _t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "*")
+    nodes = docs.select("id", F.lit("file").alias("type"))
+    none = spark.createDataFrame([], "source string, target string, type string, provenance string, confidence double")
+    seen = F.substring("text", 1, 30).alias("evidence")
+    entity = F.struct(F.col("source").alias("name"), seen, ((F.col("doc_id") % 10) / 10.0).alias("confidence"))
+    relation = F.struct(F.lit("depends_on").alias("type"), F.col("id").alias("subject"), F.col("lang").alias("object"), seen, ((F.col("doc_id") % 7) / 6.0).alias("confidence"))
+    replies = docs.where("source is not null and lang is not null").select(F.col("id").alias("file"), F.to_json(F.struct(F.array(entity).alias("entities"), F.array(relation).alias("relations"))).alias("payload"), F.col("text").alias("chunk"))
+    return N.apply_replies(nodes, none, replies)[1].select("source", "target", "type", "provenance")

@@ -65,18 +65,42 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
+NEAR = 0.8  # fixed: least ratio of a near-miss token
+
+
+def _most(a: str, b: str) -> float:
+    """What the ratio cannot exceed, by the lengths alone."""
+    return 2.0 * min(len(a), len(b)) / (len(a) + len(b)) if a and b else 0.0
+
+
+def _best(query: str, others) -> float:
+    best = 0.0
+    for other in others:
+        if _most(query, other) > best:
+            best = max(best, ratio(query, other))
+    return best
+
+
 def ratio_scores(query: str):
-    """Best sequence ratio of ``query`` against text, name and id, and of near-miss tokens."""
-    asked = set(_words(query))
+    """Best sequence ratio of ``query`` against text, name and id, and of near-miss tokens. Ratios that
+    lengths rule out are not computed, those of a token once a batch."""
+    asked = sorted(set(_words(query)))
 
     @pandas_udf("double")
     def score(text: pd.Series, name: pd.Series, node_id: pd.Series) -> pd.Series:
+        near: dict[str, float] = {}
+
+        def nearness(token):
+            if token not in near:
+                near[token] = max((ratio(a, token) for a in asked if _most(a, token) >= NEAR), default=0.0)
+            return near[token]
+
         out = []
         for t, n, i in zip(text, name, node_id):
-            best = max(ratio(query, t or ""), ratio(query, n or ""), ratio(query, i or ""))
-            near = max((ratio(a, b) for a in asked for b in set(_words(t or ""))), default=0.0)
-            out.append(max(best, near * 0.95 if near >= 0.8 else 0.0))
-        return pd.Series(out)
+            best = _best(query, {t or "", n or "", i or ""})
+            close = max(map(nearness, _words(t or "")), default=0.0)
+            out.append(max(best, close * 0.95 if close >= NEAR else 0.0))
+        return pd.Series(out, dtype="float64")
 
     return score
 

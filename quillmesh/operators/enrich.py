@@ -14,6 +14,62 @@ from .expand import settle
 
 RELATIONS = ("implements", "depends_on", "mentions")
 PLACE = ("file", "stage", "pos")
+CHUNK_CHARS = 12_000  # fixed: how much of a file a model sees
+# Fixed suffixes of files that a model is asked about, beside those without one.
+ASKED = (
+    ".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".go", ".rs", ".c", ".cc", ".cpp", ".h", ".hpp", ".sql", ".md", ".txt", ".rst", ".json", ".yaml", ".yml", ".toml",
+    ".sh", ".bash", ".zsh", ".pdf", "",
+)
+TASK = (
+    "Find the domain terms and libraries that a piece of a source file speaks of, and how its code relates to them. Reply in JSON alone: entities (name, kind, evidence, "
+    "confidence) and relations (type, subject, object, evidence, confidence), where type is implements, depends_on or mentions. Evidence is copied word for word from "
+    "the piece; confidence lies between 0 and 1."
+)
+_ITEM = {"evidence": {"type": "string"}, "confidence": {"type": "number"}}
+
+
+def reply_schema() -> dict:
+    """JSON schema of a reply."""
+    text, of = {"type": "string"}, lambda fields: {"type": "array", "items": {"type": "object", "properties": fields, "required": list(fields)}}
+    entity = {"name": text, "kind": {"type": "string", "enum": list(CONCEPT_KINDS)}} | _ITEM
+    relation = {"type": {"type": "string", "enum": list(RELATIONS)}, "subject": text, "object": text} | _ITEM
+    return {"type": "object", "properties": {"entities": of(entity), "relations": of(relation)}, "required": ["entities", "relations"]}
+
+
+def ask_files(files: DataFrame, chat, most: int = CHUNK_CHARS) -> DataFrame:
+    """files (id, content) to replies (file, payload, chunk, error): one call of ``chat(system, user)``, which
+    must be picklable, for each file whose first ``most`` characters are not blank. It gives JSON text or
+    what JSON makes of it; one that raises leaves an error and no payload. Calls cost more than anything
+    else here, so the replies are settled at once; a lost task asks again."""
+
+    def ask(batches):
+        import json
+
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for file, data in zip(batch["id"], batch["content"]):
+                chunk = bytes(data).decode("utf-8", "replace")[:most]
+                if not chunk.strip():
+                    continue
+                try:
+                    said = chat(TASK, f"{file}\n\n{chunk}")
+                    rows.append((file, said if isinstance(said, str) else json.dumps(said), chunk, None))
+                except Exception as e:  # a file never stops the others
+                    rows.append((file, None, chunk, str(e)))
+            yield pd.DataFrame(rows, columns=["file", "payload", "chunk", "error"])
+
+    base = F.regexp_extract("id", "[^/]+$", 0)
+    wanted = files.where(F.lower(F.regexp_extract(base, r".(\.[^.]+)$", 1)).isin(*ASKED))
+    return settle(wanted.select("id", "content").mapInPandas(ask, "file string, payload string, chunk string, error string"))
+
+
+def enrich(nodes: DataFrame, links: DataFrame, files: DataFrame, chat, threshold: float = 0.5, most: int = CHUNK_CHARS) -> tuple[DataFrame, DataFrame, dict]:
+    """(nodes, links, counts) with what ``chat`` finds in ``files``; ``counts`` adds failed calls."""
+    replies = ask_files(files, chat, most)
+    n, e, counts = apply_replies(nodes, links, replies.where("error is null").drop("error"), threshold)
+    return n, e, counts | {"failed": replies.where("error is not null").count()}
 
 
 def _strip(column):

@@ -59,7 +59,7 @@ def do_query(spark, body: dict, models: dict) -> dict:
     given = lambda field, other: other if body.get(field) is None else body[field]
     return answers.ask(
         spark, question, graph, body.get("output"), given("k", have.query_k), given("hops", have.query_hops), given("match_threshold", have.query_match_threshold),
-        have.query_node_cap, no_answer=bool(body.get("no_answer")), model=body.get("llm_model"), **models,
+        have.query_node_cap, no_answer=bool(body.get("no_answer")), model=body.get("llm_model") or have.llm_model, **models,
     )
 
 

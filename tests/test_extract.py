@@ -84,3 +84,22 @@ def test_sql_and_broken_texts():
         assert X.code_facts(language, b"") == ([], [], [])
         X.code_facts(language, b"}}} ((( { \" ' ` func f( class")
     assert X.code_facts("go", b"\xff") is None
+
+
+def test_ruled_out_ratios_change_no_score():
+    import pandas as pd
+
+    from quillmesh.functions import text as T
+
+    asked = "smal brused brass"
+    texts = ["small brushed brass", "", None, "brass", "smal brused brass x", "unrelated words of another sort", "brusedd", "SMALL smel"]
+    names = ["small", "", None, "b", "smal", None, "brus", "smal brused brass"]
+    ids = [f"part::{k}" for k in range(len(texts))]
+
+    def plain(t, n, i):
+        best = max(T.ratio(asked, x or "") for x in (t, n, i))
+        near = max((T.ratio(a, b) for a in set(T._words(asked)) for b in set(T._words(t or ""))), default=0.0)
+        return max(best, near * 0.95 if near >= 0.8 else 0.0)
+
+    got = T.ratio_scores(asked).func(pd.Series(texts), pd.Series(names), pd.Series(ids))
+    assert list(got) == [plain(*row) for row in zip(texts, names, ids)]
