@@ -97,7 +97,7 @@ def ratio_scores(query: str):
 
         out = []
         for t, n, i in zip(text, name, node_id):
-            best = _best(query, {t or "", n or "", i or ""})
+            best = _best(query, (n or "", t or "", i or ""))
             close = max(map(nearness, _words(t or "")), default=0.0)
             out.append(max(best, close * 0.95 if close >= NEAR else 0.0))
         return pd.Series(out, dtype="float64")

@@ -86,7 +86,7 @@ def test_sql_and_broken_texts():
     assert X.code_facts("go", b"\xff") is None
 
 
-def test_ruled_out_ratios_change_no_score():
+def test_ruled_out_ratios_change_no_score(spark):
     import pandas as pd
 
     from quillmesh.functions import text as T
