@@ -49,8 +49,8 @@ class Model:
         self.members = len(self.g) // self.u.shape[1]
 
     def forward(self, rows: np.ndarray):
-        """What the gradients need, and the states of the places from OVERLAP on. Attention weights come
-        without their sums, which divide what is mixed."""
+        """What the gradients need, and the states of the places from OVERLAP on, a one behind each for
+        the biases. Attention weights come without their sums, which divide what is mixed."""
         n, t = rows.shape
         x = np.take(self.e, rows, axis=0)
         x += self.pos
@@ -59,8 +59,7 @@ class Model:
         kv = (x.reshape(-1, d) @ np.concatenate([self.k, self.v], axis=1)).reshape(n, t, 2 * d)
         k, v, q = kv[:, :, :d], kv[:, :, d:], (y @ self.q).reshape(n, -1, d)
         a = q @ k.transpose(0, 2, 1)
-        seen = np.tri(t - OVERLAP, t, OVERLAP, dtype=a.dtype)
-        a, total = _exp_sums(a, seen)
+        a, total = _exp_sums(a, np.tri(t - OVERLAP, t, OVERLAP, dtype=a.dtype))
         mixed = a @ v
         mixed /= total[..., None]
         mixed = mixed.reshape(-1, d)
@@ -69,30 +68,31 @@ class Model:
         z = h @ self.w1
         z += self.b1
         np.maximum(z, 0, out=z)
-        return x, y, q, k, v, a, total, mixed, h, z, h + z @ self.w2
+        state = np.ones((len(h), d + 1), h.dtype)
+        np.add(h, z @ self.w2, out=state[:, :d])
+        return x, y, q, k, v, a, total, mixed, h, z, state
 
     def logs(self, state: np.ndarray, goal: np.ndarray):
         """Natural log of the probability of the row ``goal`` at each state, and what the gradients need:
         (exponents of class logits, their sums, order of the places by class, where each class begins in
-        it, exponents of member logits in that order, their sums)."""
+        it, states in that order, exponents of member logits, their sums)."""
         m, at = self.members, np.arange(len(goal))
         of = goal // m
-        z = state @ self.u
-        z += self.b
+        z = state @ np.concatenate([self.u, self.b[None]])
         out = z[at, of]
         p, total = _exp_sums(z)
         out -= np.log(total)
         order = np.argsort(of.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(z.shape[1] + 1)).tolist()
+        cuts = np.r_[0, np.cumsum(np.bincount(of, minlength=z.shape[1]))].tolist()
         here, z = state[order], np.empty((len(goal), m), state.dtype)
+        g = np.concatenate([self.g, self.m[:, None]], axis=1)
         for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
-                np.matmul(here[a:b], self.g[c * m : c * m + m].T, out=z[a:b])
-                z[a:b] += self.m[c * m : c * m + m]
-        found = z[at, goal[order] % m]
+                np.matmul(here[a:b], g[c * m : c * m + m].T, out=z[a:b])
+        found = z[at, goal[order] - of[order] * m]
         members, sums = _exp_sums(z)
         out[order] += found - np.log(sums)
-        return out, p, total, order, cuts, members, sums
+        return out, p, total, order, cuts, here, members, sums
 
     def log10(self, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Of each target (ids, after the places from OVERLAP on), given the window up to its place."""
@@ -102,24 +102,21 @@ class Model:
 
 
 def _exp_sums(x: np.ndarray, seen=None) -> tuple[np.ndarray, np.ndarray]:
-    """(exponents, their sums over the last axis), those not ``seen`` as zero. A sum that leaves the
-    middle of the type's range is made in doubles, and a row of attention, where only shares count, with
-    its largest exponent taken off first."""
+    """(exponents, their sums over the last axis), those not ``seen`` as zero; ``x`` is used up. A sum
+    that leaves the middle of the type's range is made in doubles from the exponents' logs, and a row of
+    attention, where only shares count, with its largest exponent taken off first."""
     ones = np.ones(x.shape[-1], x.dtype)
-    with np.errstate(over="ignore", invalid="ignore"):
-        e = np.exp(x)
-        if seen is not None:
-            e *= seen
-        total = e @ ones
     low, high = np.sqrt(np.finfo(x.dtype).tiny), np.sqrt(np.finfo(x.dtype).max)
-    if not (total.min(initial=1) > low and total.max(initial=1) < high):
-        if seen is None:
-            e = np.exp(x.astype(np.float64))
-        else:
-            x = np.where(seen > 0, x, -np.inf)
-            e = np.exp(x - x.max(axis=-1, keepdims=True))
-        total = e @ ones
-    return e, total
+    if max(x.max(initial=0), -x.min(initial=0)) < np.log(high) - np.log(x.shape[-1]):
+        np.exp(x, out=x)
+        if seen is not None:
+            x *= seen
+        return x, x @ ones
+    e = np.exp(x.astype(np.float64))
+    if seen is not None:
+        x = np.where(seen > 0, x, -np.inf)
+        e = np.exp(x - x.max(axis=-1, keepdims=True))
+    return e, e @ ones
 
 
 def lay_out(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +138,7 @@ def lay_out(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return inputs, targets, begin[seq] + number * STEP, seq
 
 
-def score_sequences(model: Model, sequences: list[np.ndarray], chunk: int = 512, places: int = 1 << 20) -> np.ndarray:
+def score_sequences(model: Model, sequences: list[np.ndarray], chunk: int = 256, places: int = 1 << 20) -> np.ndarray:
     """log10 probability of each id sequence, the end mark included; ``places`` bounds what is laid out
     at a time, but for a longer sequence."""
     out, a = np.zeros(len(sequences)), 0
@@ -233,6 +230,14 @@ def draw(rng, inputs, targets, starts, batch: int):
     return inputs[index], targets[index[:, OVERLAP:]]
 
 
+def every_window(rng, inputs, targets, starts, batch: int):
+    """(ids, targets) of batches of equal size, ``batch`` at most, that hold each window once."""
+    order = starts[rng.permutation(len(starts))]
+    for part in np.array_split(order, -(-len(starts) // batch)):
+        index = part[:, None] + np.arange(WINDOW)
+        yield inputs[index], targets[index[:, OVERLAP:]]
+
+
 class Adam:
     def __init__(self, model: Model):
         self.model, self.n = model, 0
@@ -243,49 +248,68 @@ class Adam:
         for n, g in gradients(self.model, ids, targets).items():
             m, v = self.m[n], self.v[n]
             m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            getattr(self.model, n)[...] -= (rate * (m / (1 - 0.9**self.n)) / (np.sqrt(v / (1 - 0.99**self.n)) + 1e-7)).astype(np.float32)
+            g = g * g
+            g -= v
+            g *= 0.01
+            v += g
+            np.sqrt(v, out=g)
+            g *= (1 - 0.99**self.n) ** -0.5
+            g += 1e-7
+            np.divide(m, g, out=g)
+            g *= rate / (1 - 0.9**self.n)
+            getattr(self.model, n)[...] -= g
 
 
 def gradients(model: Model, ids, targets) -> dict:
     """Of the mean cross-entropy over the places with a target."""
     rows, flat = model.row[ids], targets.ravel()
     x, y, q, k, v, a, total, mixed, h, z, state = model.forward(rows)
-    a = a / total[..., None]
     n, t, d = x.shape
     use = flat >= 0
     weight = (use / max(1, use.sum())).astype(state.dtype)
     goal = np.where(use, model.row[np.maximum(flat, 0)], 0)
-    _, p, total, order, cuts, members, sums = model.logs(state, goal)
-    p = p / total[:, None]
-    p[np.arange(len(p)), goal // model.members] -= 1
-    p *= weight[:, None]
-    members = members / sums[:, None]
-    members[np.arange(len(p)), goal[order] % model.members] -= 1
-    members *= weight[order, None]
-    dstate, here = p @ model.u.T, np.empty_like(state)
-    dg, dm, in_order = np.zeros_like(model.g), np.zeros_like(model.m), state[order]
+    _, p, sums, order, cuts, here, members, of_members = model.logs(state, goal)
+    # Both softmaxes less one at the goal, times their sums: a factor of each place puts that right.
+    at, of = np.arange(len(p)), goal // model.members
+    p[at, of] -= sums
+    members[at, (goal - of * model.members)[order]] -= of_members
+    by, by_member = (weight / sums)[:, None], (weight[order] / of_members)[:, None]
+    du = (state * by).T @ p
+    dstate, dhere = p @ model.u.T, np.empty((len(p), d), state.dtype)
+    dstate *= by
+    dg = np.zeros((len(model.g), d + 1), state.dtype)
+    here *= by_member
     for c, (i, j) in enumerate(zip(cuts, cuts[1:])):
         if i < j:
             span = slice(c * model.members, (c + 1) * model.members)
-            here[i:j] = members[i:j] @ model.g[span]
-            dg[span], dm[span] = members[i:j].T @ in_order[i:j], members[i:j].sum(axis=0)
-    dstate[order] += here
-    dz = (dstate @ model.w2.T) * (z > 0)
-    dh = dstate + dz @ model.w1.T
-    dmixed = (dh @ model.o.T).reshape(n, -1, d)
-    da = dmixed @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq, dk, dv = (g.reshape(-1, d) for g in (ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dmixed))
-    dx = (dk @ model.k.T + dv @ model.v.T).reshape(n, t, d)
+            np.matmul(members[i:j], model.g[span], out=dhere[i:j])
+            np.matmul(members[i:j].T, here[i:j], out=dg[span])
+    dhere *= by_member
+    dstate[order] += dhere
+    dz = dstate @ model.w2.T
+    dz *= z > 0
+    dh = dz @ model.w1.T
+    dh += dstate
+    dmixed = dh @ model.o.T
+    over = total.reshape(-1, 1)
+    dmixed /= over
+    ds = dmixed.reshape(n, -1, d) @ v.transpose(0, 2, 1)
+    ds -= np.einsum("ij,ij->i", dmixed, mixed).reshape(n, -1, 1)
+    ds *= a
+    dq, dkv = (ds @ k).reshape(-1, d), np.empty((n, t, 2 * d), state.dtype)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :d])
+    np.matmul(a.transpose(0, 2, 1), dmixed.reshape(n, -1, d), out=dkv[:, :, d:])
+    dkv = dkv.reshape(-1, 2 * d)
+    dx = (dkv @ np.concatenate([model.k, model.v], axis=1).T).reshape(n, t, d)
     dx[:, OVERLAP:] += (dh + dq @ model.q.T).reshape(n, -1, d)
-    e, by_place, at = np.zeros_like(model.e), dx.reshape(-1, d), rows.ravel()
-    for c in range(d):
-        e[:, c] = np.bincount(at, by_place[:, c], len(e))
-    inputs = x.reshape(-1, d)
+    e, by_row = np.zeros_like(model.e), np.argsort(rows.ravel().astype(np.int16), kind="stable")
+    found = rows.ravel()[by_row]
+    first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+    e[found[first]] = np.add.reduceat(dx.reshape(-1, d)[by_row].T.copy(), first, axis=1).T
+    of_inputs = x.reshape(-1, d).T @ dkv
     return {
-        "e": e, "pos": dx.sum(axis=0), "q": y.T @ dq, "k": inputs.T @ dk, "v": inputs.T @ dv, "o": mixed.T @ dh, "w1": h.T @ dz, "b1": dz.sum(axis=0),
-        "w2": z.T @ dstate, "u": state.T @ p, "b": p.sum(axis=0), "g": dg, "m": dm,
+        "e": e, "pos": dx.sum(axis=0), "q": y.T @ dq, "k": of_inputs[:, :d], "v": of_inputs[:, d:], "o": mixed.T @ dh, "w1": h.T @ dz, "b1": dz.sum(axis=0),
+        "w2": z.T @ dstate, "u": du[:d], "b": du[d], "g": dg[:, :d], "m": dg[:, d],
     }
 
 
@@ -479,7 +503,8 @@ def prepare(docs: DataFrame, split: int = 7, held: int = 2, block_bytes: int = 4
                 )
             tokens = (np.bincount(of_text, minlength=len(rows)) + 1).tolist()
             info = {"ids": [i for i, _, _ in rows], "held": [bool(h) for _, h, _ in rows], "tokens": tokens, "sizes": [len(p) for p in pieces], "pieces": np.concatenate(pieces).astype("<u2").tobytes()}
-            out.append((-1 - name % buckets, name, None, None, None, None, None, None, info))
+            own = -1 - (part * 0x9E3779B1 + number) % (1 << 31)  # a key of its own spreads the blocks over the tasks
+            out.append((own, name, None, None, None, None, None, None, info))
             columns = list(zip(*out))
             types = (pa.int32(), pa.int64(), *[pa.binary()] * 6, info_type)
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)

@@ -144,3 +144,9 @@ def test_statistics_and_windows_cover_all_training_documents(spark):
     more = spark.createDataFrame([(1000 * k + i, t) for k in range(20) for i, t in rows], "doc_id long, text string")
     small_windows, many = model.windows, L.train(more.repartition(5), max_rows=3, steps=2, d=4, every=1, batch=8, **options).windows
     assert small_windows > 0 and many > 4 * L.train(docs.repartition(5), max_rows=3, steps=2, d=4, every=1, batch=8, **options).windows
+
+
+def test_blocks_are_spread(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} " * 9) for i in range(90)], "doc_id long, text string").repartition(3)
+    info = L.prepare(docs, block_bytes=300, buckets=2).where("info is not null").select("bucket", "block").collect()
+    assert len(info) > 20 and len({r.bucket for r in info}) == len({r.block for r in info}) == len(info)
