@@ -6,10 +6,11 @@ logits come from the same state, which is an input embedding, one head of masked
 window and a small rectified layer. Ids beyond the commonest share one member and are told apart by
 their counted shares.
 
-Ids and left neighbours are counted over all training documents. The weights are first fitted in
-numpy on a bounded sample; then every task goes on from there over one window in so many of its
-training documents, and the weights of all tasks are averaged. Texts are scored in half-overlapping
-windows, each token once, with ``OVERLAP`` to ``WINDOW`` - 1 ids before it, many windows at a time.
+Ids and left neighbours are counted over all training documents. The weights are learned from every
+window of every training document: one task takes the first steps on a few blocks, so that all start
+from one point; then all tasks go on from there, each over all windows of its blocks, and their
+weights are averaged. Texts are scored in half-overlapping windows, each token once, with ``OVERLAP``
+to ``WINDOW`` - 1 ids before it, many windows at a time.
 
 The base score needs the count of every word of the corpus. Tasks count inside blocks of
 documents; what travels is, for each block and hash bucket of words, the distinct words with their
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fit_in_task, id_bucket, settle, small_batches, worker_store
+from .common import fit_in_task, id_bucket, settle, small_batches, worker_store
 from .token_codes import WordEncoder, word_hashes, words_of
 
 START = 49406  # ids of the vocabulary's own marks
@@ -230,10 +231,11 @@ def draw(rng, inputs, targets, starts, batch: int):
     return inputs[index], targets[index[:, OVERLAP:]]
 
 
-def every_window(rng, inputs, targets, starts, batch: int):
-    """(ids, targets) of batches of equal size, ``batch`` at most, that hold each window once."""
-    order = starts[rng.permutation(len(starts))]
-    for part in np.array_split(order, -(-len(starts) // batch)):
+def every_window(rng, inputs, targets, starts, batch: int, every: int = 1):
+    """(ids, targets) of batches of like size, ``batch`` at most, that hold each window once, or one
+    window in ``every``."""
+    order = starts[rng.permutation(len(starts))][: -(-len(starts) // every)]
+    for part in np.array_split(order, -(-len(order) // batch)):
         index = part[:, None] + np.arange(WINDOW)
         yield inputs[index], targets[index[:, OVERLAP:]]
 
@@ -392,33 +394,42 @@ def counted_by(count):
 
 
 def train(
-    docs: DataFrame, max_rows: int = 1500, max_bytes: int = 24 << 20, split: int = 7, held: int = 2, prepared: DataFrame | None = None, every: int = 32, batch: int = 256, **options
+    docs: DataFrame, max_rows: int = 1500, max_bytes: int = 24 << 20, split: int = 7, held: int = 2, prepared: DataFrame | None = None, every: int = 1, batch: int = 256, **options
 ) -> Model:
     """Fit on all documents but those of crc32(id) mod ``split`` = ``held``.
 
-    Ids and left neighbours are counted over all of them. The weights are fitted on at most
-    ``max_rows`` rows and ``max_bytes``, those of the smallest hash of id, then by all tasks on one
-    window in ``every`` (at least ``batch`` a block) and averaged by windows; ``model.windows`` is how
-    many that were. ``prepared`` is ``prepare(docs)``, made here if not given.
+    Ids and left neighbours are counted over all of them. The first steps are taken in one task, on
+    at most ``max_rows`` documents and ``max_bytes`` of ids of some blocks; from there all tasks go
+    over every window of all training documents, those included, and the weights are averaged by
+    windows. ``model.windows`` is how many that were; ``every`` above 1 takes one in so many.
+    ``prepared`` is ``prepare(docs)``, made here if not given.
     """
     if prepared is None:
         prepared = prepare(docs, split, held)
-    blocks = prepared.where("info is not null").select("info.held", "info.sizes", "info.pieces")
+    whole = prepared.where("info is not null")
+    blocks = whole.select("info.held", "info.sizes", "info.pieces")
     rows, classes, seed = (options.pop(k, v) for k, v in (("rows", 4096), ("classes", 64), ("seed", 11)))
     count = fit_in_task(sum_over(blocks, counted_by(lambda i, t: np.bincount(t, minlength=VOCABULARY))), lambda t: dense(t, VOCABULARY))
     by_count = rows_of(count, rows)
     left = sum_over(blocks, counted_by(lambda i, t: left_counts(i, t, by_count, rows)))
     row = fit_in_task(left, lambda t: class_order(dense(t, rows * (FEW + 1)), rows, classes, seed))[by_count]
 
-    usable = docs.where(id_bucket(F.col("doc_id"), split) != held).where("text is not null")
-    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    narrow = whole.select("block", F.size("info.ids").alias("n"), F.octet_length("info.pieces").alias("size"))
+    some, n, size = [], 0, 0
+    for r in narrow.orderBy(F.xxhash64("block"), "block").limit(64).collect():
+        if some and (n >= 2 * max_rows or size + r["size"] > max_bytes):
+            break
+        some, n, size = [*some, r.block], n + r.n, size + r["size"]
 
     def learn(table):
-        order = sorted(zip(*(table.column(c).to_pylist() for c in range(2))), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        sequences = WordEncoder.of_worker(None).encode_all([t for _, t in order])
-        return fit(sequences, rows=rows, classes=classes, batch=batch, seed=seed, statistics=(count, row), **options)
-
-    model = fit_in_task(bounded_sample(usable, max_rows, max_bytes, 9), learn)
+        found = sorted(table.to_pylist(), key=lambda r: r["block"])
+        sequences = [s for r in found for s in training_sequences(r)]
+        order = np.random.default_rng(seed).permutation(len(sequences))[:max_rows]
+        within = np.cumsum([2 * len(sequences[i]) for i in order]) <= max_bytes
+        return fit([sequences[i] for i in order[within]], rows=rows, classes=classes, batch=batch, seed=seed, statistics=(count, row), **options)
+
+    first = whole.where(F.col("block").isin(some)).select("block", "info.held", "info.sizes", "info.pieces")
+    model = fit_in_task(first, learn)
     weights = {n: getattr(model, n) for n in Model.names}
     size = sum(w.size for w in weights.values())
 
@@ -429,9 +440,9 @@ def train(
         for sequences in blocks:
             inputs, targets, starts, _ = lay_out(sequences)
             rng = np.random.default_rng([seed, len(inputs)])
-            for _ in range(max(1, round(len(starts) / every / batch))):
-                adam.step(*draw(rng, inputs, targets, starts, batch), 0.001)
-                windows += batch
+            for ids, goal in every_window(rng, inputs, targets, starts, batch, every):
+                adam.step(ids, goal, 0.005 * (1 + adam.n / 100) ** -0.5 * min(1, len(ids) / batch))
+                windows += len(ids)
         return np.r_[np.concatenate([getattr(own, n).ravel() for n in Model.names]).astype(float) * windows, windows] if windows else None
 
     found = fit_in_task(sum_over(blocks, go_on), lambda t: dense(t, size + 1))

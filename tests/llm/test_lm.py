@@ -150,3 +150,21 @@ def test_blocks_are_spread(spark):
     docs = spark.createDataFrame([(i, f"some words {i} " * 9) for i in range(90)], "doc_id long, text string").repartition(3)
     info = L.prepare(docs, block_bytes=300, buckets=2).where("info is not null").select("bucket", "block").collect()
     assert len(info) > 20 and len({r.bucket for r in info}) == len({r.block for r in info}) == len(info)
+
+
+def test_weights_learn_from_every_window(spark):
+    sequences = small(3)
+    inputs, targets, starts, _ = L.lay_out(sequences)
+    parts = list(L.every_window(np.random.default_rng(1), inputs, targets, starts, 7))
+    place = starts[:, None] + np.arange(L.WINDOW)
+    want = sorted(zip(map(tuple, inputs[place]), map(tuple, targets[place[:, L.OVERLAP :]])))
+    assert sorted((tuple(i), tuple(t)) for ids, goal in parts for i, t in zip(ids, goal)) == want
+    assert max(len(ids) for ids, _ in parts) <= 7
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["cat", "dog", "zulu"]) + str(rng.randrange(9)) for _ in range(rng.randrange(300)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ids = L.WordEncoder.of_worker(None).encode_all([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    found = [L.train(docs, prepared=L.prepare(docs, block_bytes=size), max_rows=3, steps=2, d=4, rows=64, classes=8) for size in (1 << 20, 2000)]
+    assert [m.windows for m in found] == [len(L.lay_out(ids)[2])] * 2
+    assert all(L.score_sequences(m, ids).sum() > L.score_sequences(L.fit(ids, steps=2, d=4, rows=64, classes=8), ids).sum() for m in found)
