@@ -85,7 +85,7 @@ class Model:
         out -= np.log(total)
         order = np.argsort(of.astype(np.int16), kind="stable")
         cuts = np.r_[0, np.cumsum(np.bincount(of, minlength=z.shape[1]))].tolist()
-        here, z = state[order], np.empty((len(goal), m), state.dtype)
+        here, z = state.take(order, axis=0), np.empty((len(goal), m), state.dtype)
         g = np.concatenate([self.g, self.m[:, None]], axis=1)
         for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
@@ -98,8 +98,8 @@ class Model:
     def log10(self, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Of each target (ids, after the places from OVERLAP on), given the window up to its place."""
         flat = targets.ravel()
-        found = self.logs(self.forward(self.row[ids])[-1], self.row[flat])[0]
-        return (found * np.float32(1 / np.log(10)) + self.share[flat]).reshape(targets.shape)
+        found = self.logs(self.forward(self.row.take(ids))[-1], self.row.take(flat))[0]
+        return (found * np.float32(1 / np.log(10)) + self.share.take(flat)).reshape(targets.shape)
 
 
 def _exp_sums(x: np.ndarray, seen=None) -> tuple[np.ndarray, np.ndarray]:
@@ -245,38 +245,49 @@ class Adam:
         self.model, self.n = model, 0
         self.m, self.v = ({n: np.zeros_like(getattr(model, n)) for n in Model.names} for _ in range(2))
 
-    def step(self, ids, targets, rate: float) -> None:
+    def step(self, ids, targets, rate: float, run: int = 1 << 13) -> None:
+        """In runs of so many parameters, which stay in the cache from one operation to the next."""
         self.n += 1
+        rate, scale = rate / (1 - 0.9**self.n), (1 - 0.99**self.n) ** -0.5
         for n, g in gradients(self.model, ids, targets).items():
-            m, v = self.m[n], self.v[n]
-            m += 0.1 * (g - m)
-            g = g * g
-            g -= v
-            g *= 0.01
-            v += g
-            np.sqrt(v, out=g)
-            g *= (1 - 0.99**self.n) ** -0.5
-            g += 1e-7
-            np.divide(m, g, out=g)
-            g *= rate / (1 - 0.9**self.n)
-            getattr(self.model, n)[...] -= g
+            flat = [x.reshape(-1) for x in (g, self.m[n], self.v[n], getattr(self.model, n))]
+            for k in range(0, g.size, run):
+                d, m, v, w = (x[k : k + run] for x in flat)
+                m += 0.1 * (d - m)
+                d = d * d
+                d -= v
+                d *= 0.01
+                v += d
+                np.sqrt(v, out=d)
+                d *= scale
+                d += 1e-7
+                np.divide(m, d, out=d)
+                d *= rate
+                w -= d
+
+
+def _gram(a: np.ndarray, b: np.ndarray, run: int = 256) -> np.ndarray:
+    """a.T @ b by short runs of rows, which takes half the time where both are narrow."""
+    whole = len(a) // run * run
+    out = (a[:whole].reshape(-1, run, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, run, b.shape[1])).sum(axis=0)
+    return out + a[whole:].T @ b[whole:]
 
 
 def gradients(model: Model, ids, targets) -> dict:
     """Of the mean cross-entropy over the places with a target."""
-    rows, flat = model.row[ids], targets.ravel()
+    rows, flat = model.row.take(ids), targets.ravel()
     x, y, q, k, v, a, total, mixed, h, z, state = model.forward(rows)
     n, t, d = x.shape
     use = flat >= 0
     weight = (use / max(1, use.sum())).astype(state.dtype)
-    goal = np.where(use, model.row[np.maximum(flat, 0)], 0)
+    goal = np.where(use, model.row.take(np.maximum(flat, 0)), 0)
     _, p, sums, order, cuts, here, members, of_members = model.logs(state, goal)
     # Both softmaxes less one at the goal, times their sums: a factor of each place puts that right.
     at, of = np.arange(len(p)), goal // model.members
     p[at, of] -= sums
     members[at, (goal - of * model.members)[order]] -= of_members
     by, by_member = (weight / sums)[:, None], (weight[order] / of_members)[:, None]
-    du = (state * by).T @ p
+    du = _gram(state * by, p)
     dstate, dhere = p @ model.u.T, np.empty((len(p), d), state.dtype)
     dstate *= by
     dg = np.zeros((len(model.g), d + 1), state.dtype)
@@ -287,7 +298,9 @@ def gradients(model: Model, ids, targets) -> dict:
             np.matmul(members[i:j], model.g[span], out=dhere[i:j])
             np.matmul(members[i:j].T, here[i:j], out=dg[span])
     dhere *= by_member
-    dstate[order] += dhere
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    dstate += dhere.take(back, axis=0)
     dz = dstate @ model.w2.T
     dz *= z > 0
     dh = dz @ model.w1.T
@@ -307,11 +320,11 @@ def gradients(model: Model, ids, targets) -> dict:
     e, by_row = np.zeros_like(model.e), np.argsort(rows.ravel().astype(np.int16), kind="stable")
     found = rows.ravel()[by_row]
     first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-    e[found[first]] = np.add.reduceat(dx.reshape(-1, d)[by_row].T.copy(), first, axis=1).T
-    of_inputs = x.reshape(-1, d).T @ dkv
+    e[found[first]] = np.add.reduceat(dx.reshape(-1, d).take(by_row, axis=0).T.copy(), first, axis=1).T
+    of_inputs = _gram(x.reshape(-1, d), dkv)
     return {
-        "e": e, "pos": dx.sum(axis=0), "q": y.T @ dq, "k": of_inputs[:, :d], "v": of_inputs[:, d:], "o": mixed.T @ dh, "w1": h.T @ dz, "b1": dz.sum(axis=0),
-        "w2": z.T @ dstate, "u": du[:d], "b": du[d], "g": dg[:, :d], "m": dg[:, d],
+        "e": e, "pos": dx.sum(axis=0), "q": _gram(y, dq), "k": of_inputs[:, :d], "v": of_inputs[:, d:], "o": _gram(mixed, dh), "w1": _gram(h, dz), "b1": dz.sum(axis=0),
+        "w2": _gram(z, dstate), "u": du[:d], "b": du[d], "g": dg[:, :d], "m": dg[:, d],
     }
 
 

@@ -168,3 +168,19 @@ def test_weights_learn_from_every_window(spark):
     found = [L.train(docs, prepared=L.prepare(docs, block_bytes=size), max_rows=3, steps=2, d=4, rows=64, classes=8) for size in (1 << 20, 2000)]
     assert [m.windows for m in found] == [len(L.lay_out(ids)[2])] * 2
     assert all(L.score_sequences(m, ids).sum() > L.score_sequences(L.fit(ids, steps=2, d=4, rows=64, classes=8), ids).sum() for m in found)
+
+
+def test_short_runs():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 255, 256, 257, 700):
+        a, b = rng.standard_normal((n, 5)), rng.standard_normal((n, 3))
+        assert np.allclose(L._gram(a, b), a.T @ b)
+    inputs, targets, starts, _ = L.lay_out(small())
+    found = []
+    for run in (7, 1 << 13):
+        model = fitted(3)
+        adam = L.Adam(model)
+        for ids, goal in L.every_window(np.random.default_rng(2), inputs, targets, starts, 16):
+            adam.step(ids, goal, 0.01, run)
+        found.append(model)
+    assert all(np.allclose(getattr(found[0], n), getattr(found[1], n)) for n in L.Model.names)
