@@ -51,54 +51,68 @@ class Model:
 
     def forward(self, rows: np.ndarray):
         """What the gradients need, and the states of the places from OVERLAP on, a one behind each for
-        the biases. Attention weights come without their sums, which divide what is mixed."""
+        the biases. With one head q and k act only as the product q k', v and o as v o, so neither keys
+        nor values are made: places are matched and mixed as they are. Attention weights come without
+        their sums, which divide what is mixed."""
         n, t = rows.shape
         x = np.take(self.e, rows, axis=0)
         x += self.pos
         d = x.shape[2]
         y = np.ascontiguousarray(x[:, OVERLAP:]).reshape(-1, d)
-        kv = (x.reshape(-1, d) @ np.concatenate([self.k, self.v], axis=1)).reshape(n, t, 2 * d)
-        k, v, q = kv[:, :, :d], kv[:, :, d:], (y @ self.q).reshape(n, -1, d)
-        a = q @ k.transpose(0, 2, 1)
+        across = np.ascontiguousarray(x.transpose(0, 2, 1))
+        asked = (y @ (self.q @ self.k.T)).reshape(n, -1, d)
+        a = asked @ across
         a, total = _exp_sums(a, np.tri(t - OVERLAP, t, OVERLAP, dtype=a.dtype))
-        mixed = a @ v
+        mixed = a @ x
         mixed /= total[..., None]
         mixed = mixed.reshape(-1, d)
-        h = mixed @ self.o
+        h = mixed @ (self.v @ self.o)
         h += y
         z = h @ self.w1
         z += self.b1
         np.maximum(z, 0, out=z)
-        state = np.ones((len(h), d + 1), h.dtype)
+        state = np.empty((len(h), d + 1), h.dtype)
+        state[:, d] = 1
         np.add(h, z @ self.w2, out=state[:, :d])
-        return x, y, q, k, v, a, total, mixed, h, z, state
+        return x, across, y, asked, a, total, mixed, h, z, state
 
-    def logs(self, state: np.ndarray, goal: np.ndarray):
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and biases of the class logits, and of the member logits of each class."""
+        d, classes = self.u.shape
+        of_members = np.empty((classes, d + 1, self.members), self.g.dtype)
+        of_members[:, :d] = self.g.reshape(classes, self.members, d).transpose(0, 2, 1)
+        of_members[:, d] = self.m.reshape(classes, self.members)
+        return np.concatenate([self.u, self.b[None]]), of_members
+
+    def logs(self, state: np.ndarray, goal: np.ndarray, heads=None):
         """Natural log of the probability of the row ``goal`` at each state, and what the gradients need:
-        (exponents of class logits, their sums, order of the places by class, where each class begins in
-        it, states in that order, exponents of member logits, their sums)."""
-        m, at = self.members, np.arange(len(goal))
+        (exponents of class logits, their sums, where among them the goals are, order of the places by
+        class, where each class begins in it, states in that order, exponents of member logits, their
+        sums, where among them the goals are). ``heads`` is made here if not given."""
+        of_classes, of_members = heads or self.heads()
+        m, classes, at = self.members, len(of_members), np.arange(len(goal))
         of = goal // m
-        z = state @ np.concatenate([self.u, self.b[None]])
-        out = z[at, of]
+        z = state @ of_classes
+        at_class = at * classes + of
+        out = z.take(at_class)
         p, total = _exp_sums(z)
         out -= np.log(total)
         order = np.argsort(of.astype(np.int16), kind="stable")
-        cuts = np.r_[0, np.cumsum(np.bincount(of, minlength=z.shape[1]))].tolist()
+        cuts = [0, *np.cumsum(np.bincount(of, minlength=classes)).tolist()]
         here, z = state.take(order, axis=0), np.empty((len(goal), m), state.dtype)
-        g = np.concatenate([self.g, self.m[:, None]], axis=1)
-        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        for w, a, b in zip(of_members, cuts, cuts[1:]):
             if a < b:
-                np.matmul(here[a:b], g[c * m : c * m + m].T, out=z[a:b])
-        found = z[at, goal[order] - of[order] * m]
+                np.matmul(here[a:b], w, out=z[a:b])
+        at_member = at * m + (goal - of * m).take(order)
+        found = z.take(at_member)
         members, sums = _exp_sums(z)
         out[order] += found - np.log(sums)
-        return out, p, total, order, cuts, here, members, sums
+        return out, p, total, at_class, order, cuts, here, members, sums, at_member
 
-    def log10(self, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    def log10(self, ids: np.ndarray, targets: np.ndarray, heads=None) -> np.ndarray:
         """Of each target (ids, after the places from OVERLAP on), given the window up to its place."""
         flat = targets.ravel()
-        found = self.logs(self.forward(self.row.take(ids))[-1], self.row.take(flat))[0]
+        found = self.logs(self.forward(self.row.take(ids))[-1], self.row.take(flat), heads)[0]
         return (found * np.float32(1 / np.log(10)) + self.share.take(flat)).reshape(targets.shape)
 
 
@@ -142,7 +156,7 @@ def lay_out(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 def score_sequences(model: Model, sequences: list[np.ndarray], chunk: int = 256, places: int = 1 << 20) -> np.ndarray:
     """log10 probability of each id sequence, the end mark included; ``places`` bounds what is laid out
     at a time, but for a longer sequence."""
-    out, a = np.zeros(len(sequences)), 0
+    out, a, heads = np.zeros(len(sequences)), 0, model.heads()
     while a < len(sequences):
         b, size = a + 1, len(sequences[a])
         while b < len(sequences) and size + len(sequences[b]) <= places:
@@ -153,7 +167,7 @@ def score_sequences(model: Model, sequences: list[np.ndarray], chunk: int = 256,
         for k in range(0, len(starts), chunk):
             index = starts[k : k + chunk, None] + place
             goal = targets[index[:, OVERLAP:]]
-            scores = model.log10(inputs[index], np.maximum(goal, 0))
+            scores = model.log10(inputs[index], np.maximum(goal, 0), heads)
             out[a:b] += np.bincount(seq[k : k + chunk], np.where(goal >= 0, scores, 0).sum(axis=1, dtype=np.float64), b - a)
         a = b
     return out
@@ -241,29 +255,37 @@ def every_window(rng, inputs, targets, starts, batch: int, every: int = 1):
 
 
 class Adam:
+    """All parameters lie in one run ``w``, of which the model's become views. ``m`` and ``v`` are sums,
+    not means, of the gradients and their squares; the rate and the smallest divisor make up for it."""
+
     def __init__(self, model: Model):
-        self.model, self.n = model, 0
-        self.m, self.v = ({n: np.zeros_like(getattr(model, n)) for n in Model.names} for _ in range(2))
+        self.model, self.n, at = model, 0, 0
+        self.w = np.concatenate([getattr(model, n).ravel() for n in Model.names])
+        self.m, self.v = np.zeros_like(self.w), np.zeros_like(self.w)
+        for n in Model.names:
+            old = getattr(model, n)
+            setattr(model, n, self.w[at : at + old.size].reshape(old.shape))
+            at += old.size
 
     def step(self, ids, targets, rate: float, run: int = 1 << 13) -> None:
         """In runs of so many parameters, which stay in the cache from one operation to the next."""
         self.n += 1
-        rate, scale = rate / (1 - 0.9**self.n), (1 - 0.99**self.n) ** -0.5
-        for n, g in gradients(self.model, ids, targets).items():
-            flat = [x.reshape(-1) for x in (g, self.m[n], self.v[n], getattr(self.model, n))]
-            for k in range(0, g.size, run):
-                d, m, v, w = (x[k : k + run] for x in flat)
-                m += 0.1 * (d - m)
-                d = d * d
-                d -= v
-                d *= 0.01
-                v += d
-                np.sqrt(v, out=d)
-                d *= scale
-                d += 1e-7
-                np.divide(m, d, out=d)
-                d *= rate
-                w -= d
+        scale = (1 - 0.99**self.n) ** -0.5
+        rate, least = rate / (1 - 0.9**self.n) / scale, 1e-6 / scale
+        found = gradients(self.model, ids, targets)
+        g = np.concatenate([found[n].ravel() for n in Model.names], dtype=self.w.dtype, casting="same_kind")
+        for k in range(0, len(g), run):
+            d, m, v, w = (x[k : k + run] for x in (g, self.m, self.v, self.w))
+            m *= 0.9
+            m += d
+            d *= d
+            v *= 0.99
+            v += d
+            np.sqrt(v, out=d)
+            d += least
+            np.divide(m, d, out=d)
+            d *= rate
+            w -= d
 
 
 def _gram(a: np.ndarray, b: np.ndarray, run: int = 256) -> np.ndarray:
@@ -276,27 +298,26 @@ def _gram(a: np.ndarray, b: np.ndarray, run: int = 256) -> np.ndarray:
 def gradients(model: Model, ids, targets) -> dict:
     """Of the mean cross-entropy over the places with a target."""
     rows, flat = model.row.take(ids), targets.ravel()
-    x, y, q, k, v, a, total, mixed, h, z, state = model.forward(rows)
+    x, across, y, asked, a, total, mixed, h, z, state = model.forward(rows)
     n, t, d = x.shape
     use = flat >= 0
-    weight = (use / max(1, use.sum())).astype(state.dtype)
+    weight = use * state.dtype.type(1 / max(1, np.count_nonzero(use)))
     goal = np.where(use, model.row.take(np.maximum(flat, 0)), 0)
-    _, p, sums, order, cuts, here, members, of_members = model.logs(state, goal)
+    _, p, sums, at_class, order, cuts, here, members, of_members, at_member = model.logs(state, goal)
     # Both softmaxes less one at the goal, times their sums: a factor of each place puts that right.
-    at, of = np.arange(len(p)), goal // model.members
-    p[at, of] -= sums
-    members[at, (goal - of * model.members)[order]] -= of_members
+    p.reshape(-1)[at_class] -= sums
+    members.reshape(-1)[at_member] -= of_members
     by, by_member = (weight / sums)[:, None], (weight[order] / of_members)[:, None]
     du = _gram(state * by, p)
     dstate, dhere = p @ model.u.T, np.empty((len(p), d), state.dtype)
     dstate *= by
     dg = np.zeros((len(model.g), d + 1), state.dtype)
     here *= by_member
-    for c, (i, j) in enumerate(zip(cuts, cuts[1:])):
+    of_class = (w.reshape(-1, model.members, w.shape[1]) for w in (model.g, dg))
+    for g, of_g, i, j in zip(*of_class, cuts, cuts[1:]):
         if i < j:
-            span = slice(c * model.members, (c + 1) * model.members)
-            np.matmul(members[i:j], model.g[span], out=dhere[i:j])
-            np.matmul(members[i:j].T, here[i:j], out=dg[span])
+            np.matmul(members[i:j], g, out=dhere[i:j])
+            np.matmul(members[i:j].T, here[i:j], out=of_g)
     dhere *= by_member
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
@@ -305,29 +326,35 @@ def gradients(model: Model, ids, targets) -> dict:
     dz *= z > 0
     dh = dz @ model.w1.T
     dh += dstate
-    dmixed = dh @ model.o.T
-    over = total.reshape(-1, 1)
-    dmixed /= over
-    ds = dmixed.reshape(n, -1, d) @ v.transpose(0, 2, 1)
-    ds -= np.einsum("ij,ij->i", dmixed, mixed).reshape(n, -1, 1)
+    dmixed = dh @ (model.v @ model.o).T
+    dmixed /= total.reshape(-1, 1)
+    ds = dmixed.reshape(n, -1, d) @ across
+    ds -= ((dmixed * mixed) @ np.ones(d, dmixed.dtype)).reshape(n, -1, 1)
     ds *= a
-    dq, dkv = (ds @ k).reshape(-1, d), np.empty((n, t, 2 * d), state.dtype)
-    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :d])
-    np.matmul(a.transpose(0, 2, 1), dmixed.reshape(n, -1, d), out=dkv[:, :, d:])
-    dkv = dkv.reshape(-1, 2 * d)
-    dx = (dkv @ np.concatenate([model.k, model.v], axis=1).T).reshape(n, t, d)
-    dx[:, OVERLAP:] += (dh + dq @ model.q.T).reshape(n, -1, d)
-    e, by_row = np.zeros_like(model.e), np.argsort(rows.ravel().astype(np.int16), kind="stable")
-    found = rows.ravel()[by_row]
-    first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-    e[found[first]] = np.add.reduceat(dx.reshape(-1, d).take(by_row, axis=0).T.copy(), first, axis=1).T
-    of_inputs = _gram(x.reshape(-1, d), dkv)
+    dasked = (ds @ x).reshape(-1, d)
+    dx = ds.transpose(0, 2, 1) @ asked
+    dx += a.transpose(0, 2, 1) @ dmixed.reshape(n, -1, d)
+    dh_y = dasked @ (model.q @ model.k.T).T
+    dh_y += dh
+    dx[:, OVERLAP:] += dh_y.reshape(n, -1, d)
+    dqk, dvo = _gram(y, dasked), _gram(mixed, dh)
     return {
-        "e": e, "pos": dx.sum(axis=0), "q": _gram(y, dq), "k": of_inputs[:, :d], "v": of_inputs[:, d:], "o": _gram(mixed, dh), "w1": _gram(h, dz), "b1": dz.sum(axis=0),
-        "w2": _gram(z, dstate), "u": du[:d], "b": du[d], "g": dg[:, :d], "m": dg[:, d],
+        "e": _sum_by_row(dx.reshape(-1, d), rows.ravel(), len(model.e)), "pos": dx.sum(axis=0), "q": dqk @ model.k, "k": dqk.T @ model.q, "v": dvo @ model.o.T, "o": model.v.T @ dvo,
+        "w1": _gram(h, dz), "b1": np.ones(len(dz), dz.dtype) @ dz, "w2": _gram(z, dstate), "u": du[:d], "b": du[d], "g": dg[:, :d], "m": dg[:, d],
     }
 
 
+def _sum_by_row(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of the rows of ``x`` that share a ``row``. Of an even width, two numbers are added at a time
+    as one complex number."""
+    pair = np.result_type(x, np.complex64) if x.shape[1] % 2 == 0 else x.dtype
+    count, out = np.bincount(row, minlength=rows), np.zeros((rows, x.shape[1]), x.dtype)
+    found = np.flatnonzero(count)
+    first = (np.cumsum(count) - count)[found]
+    out.view(pair)[found] = np.add.reduceat(x.take(np.argsort(row.astype(np.int16), kind="stable"), axis=0).view(pair), first, axis=0)
+    return out
+
+
 def training_sequences(info: dict) -> list[np.ndarray]:
     """Ids of the documents of a block that are not held out."""
     pieces = np.split(np.frombuffer(info["pieces"], "<u2"), np.cumsum(info["sizes"])[:-1])
@@ -456,7 +483,7 @@ def train(
             for ids, goal in every_window(rng, inputs, targets, starts, batch, every):
                 adam.step(ids, goal, 0.005 * (1 + adam.n / 100) ** -0.5 * min(1, len(ids) / batch))
                 windows += len(ids)
-        return np.r_[np.concatenate([getattr(own, n).ravel() for n in Model.names]).astype(float) * windows, windows] if windows else None
+        return np.r_[adam.w.astype(float) * windows, windows] if windows else None
 
     found = fit_in_task(sum_over(blocks, go_on), lambda t: dense(t, size + 1))
     at, model.windows = 0, int(found[-1])

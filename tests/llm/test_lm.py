@@ -184,3 +184,62 @@ def test_short_runs():
             adam.step(ids, goal, 0.01, run)
         found.append(model)
     assert all(np.allclose(getattr(found[0], n), getattr(found[1], n)) for n in L.Model.names)
+
+
+class Counted(np.ndarray):
+    """Counts the multiplications of matrix products, its own and of all that is made from it."""
+
+    done = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, out=None, **options):
+        plain = [x.view(np.ndarray) if isinstance(x, Counted) else x for x in inputs]
+        if out is not None:
+            options["out"] = tuple(x.view(np.ndarray) for x in out)
+        found = getattr(ufunc, method)(*plain, **options)
+        if ufunc is np.matmul:
+            Counted.done += found.size * plain[0].shape[-1]
+        return out[0] if out is not None else found.view(Counted) if isinstance(found, np.ndarray) else found
+
+
+def test_no_keys_or_values_are_made():
+    model = fitted(3)
+    ids, targets = (np.random.default_rng(7).integers(100, 111, (40, n)) for n in (L.WINDOW, L.STEP))
+    want, rows = L.gradients(model, ids, targets), model.row.take(ids)
+    state = model.forward(rows)[-1].copy()
+    for name in L.Model.names:
+        setattr(model, name, getattr(model, name).view(Counted))
+    d, hidden = model.w1.shape
+    Counted.done = 0
+    assert np.allclose(model.forward(rows)[-1], state)
+    # By place that is scored: what it asks, its matches, their mixture and what comes of it, the layer.
+    forward = len(ids) * L.STEP * (d * d + L.WINDOW * d + L.WINDOW + L.WINDOW * d + d * d + 2 * d * hidden) + 2 * d**3
+    assert Counted.done <= forward
+    found = L.gradients(model, ids, targets)
+    assert all(np.allclose(found[n], want[n], atol=1e-6) for n in L.Model.names)
+
+
+def test_sums_by_row():
+    rng = np.random.default_rng(2)
+    for width, kind in ((4, np.float32), (3, np.float32), (4, np.float64)):
+        for n in (1, 300):
+            x, row = rng.standard_normal((n, width)).astype(kind), rng.integers(0, 50, n)
+            want = np.zeros((64, width))
+            np.add.at(want, row, x)
+            found = L._sum_by_row(x, row, 64)
+            assert found.dtype == kind and np.allclose(found, want, atol=1e-5)
+
+
+def test_steps_are_those_of_adam():
+    inputs, targets, starts, _ = L.lay_out(small())
+    model, plain = fitted(3), fitted(3)
+    adam, moments = L.Adam(model), {n: [0.0, 0.0] for n in L.Model.names}
+    for k, (ids, goal) in enumerate(L.every_window(np.random.default_rng(2), inputs, targets, starts, 16), 1):
+        adam.step(ids, goal, 0.01)
+        for n, g in L.gradients(plain, ids, goal).items():
+            m, v = moments[n] = [0.9 * moments[n][0] + 0.1 * g, 0.99 * moments[n][1] + 0.01 * g * g]
+            step = 0.01 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-7)
+            setattr(plain, n, (getattr(plain, n) - step).astype(np.float32))
+        if k == 6:
+            break
+    assert all(np.allclose(getattr(model, n), getattr(plain, n), atol=2e-3) for n in L.Model.names)
+    assert np.array_equal(adam.w, np.concatenate([getattr(model, n).ravel() for n in L.Model.names]))
