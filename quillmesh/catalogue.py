@@ -9,6 +9,7 @@ from .operators import enrich as N
 from .operators import expand as G
 from .operators import links as L
 from .operators import merge as M
+from .plans.deal import deal
 from .plans.model import edge_cost, slug
 from .sources import files as S
 
@@ -21,14 +22,30 @@ def _key(table, column):
     return F.concat(F.lit(f"{table}::"), F.col(column).cast("string"))
 
 
-def nodes(spark, sf_dir):
+_TABLES = ("region", "nation", "customer", "supplier", "orders", "part")
+
+
+def _mark(table, column):
+    """The same id as one number, eight times the key and the table's place: what is sorted and shuffled is
+    a third of the name. Keys of over 60 bits overflow, which raises."""
+    return F.col(column).cast("long") * 8 + _TABLES.index(table)
+
+
+def _named(mark):
+    """The id that a mark stands for."""
+    mark = F.col(mark) if isinstance(mark, str) else mark
+    table = F.element_at(F.array(*[F.lit(f"{t}::") for t in _TABLES]), (mark.bitwiseAND(F.lit(7)) + 1).cast("int"))
+    return F.concat(table, F.shiftright(mark, 3).cast("string"))
+
+
+def nodes(spark, sf_dir, key=_key):
     """Regions and nations as directories, customers and suppliers as files, orders as headings,
     parts as concepts."""
     no = lambda kind: F.lit(None).cast(kind)
 
-    def of(table, key, node_type, name, **more):
+    def of(table, column, node_type, name, **more):
         columns = {"name": name, "file": no("string"), "source": no("string"), "kind": no("string"), "start_line": no("int")} | more
-        return _t(spark, sf_dir, table).select(_key(table, key).alias("id"), F.lit(node_type).alias("type"), *[c.alias(n) for n, c in columns.items()])
+        return _t(spark, sf_dir, table).select(key(table, column).alias("id"), F.lit(node_type).alias("type"), *[c.alias(n) for n, c in columns.items()])
 
     heading = {"file": F.lit("orders.md"), "source": F.lit("markdown"), "start_line": F.col("o_orderkey").cast("int") + 1}
     all_nodes = (
@@ -52,21 +69,25 @@ def candidate_links(spark, sf_dir):
         )
 
     nation, customer, supplier, orders, lineitem = (_t(spark, sf_dir, t) for t in ("nation", "customer", "supplier", "orders", "lineitem"))
-    supply = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    supply = deal(lineitem.select("l_suppkey", "l_partkey", "l_quantity"), "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
     return (
-        of(nation, _key("region", "n_regionkey"), _key("nation", "n_nationkey"), "contains", "extracted", 0, F.col("n_nationkey"))
-        .unionByName(of(customer, _key("nation", "c_nationkey"), _key("customer", "c_custkey"), "contains", "extracted", 0, F.col("c_custkey")))
-        .unionByName(of(supplier, _key("nation", "s_nationkey"), _key("supplier", "s_suppkey"), "contains", "extracted", 0, F.col("s_suppkey")))
-        .unionByName(of(orders, _key("orders", "o_orderkey"), _key("customer", "o_custkey"), "references", "extracted", 1, F.lit(0)))
-        .unionByName(of(lineitem, _key("orders", "l_orderkey"), _key("part", "l_partkey"), "depends_on", "inferred", 2, F.col("l_linenumber"), 1 - F.col("l_discount"), "line item"))
-        .unionByName(of(supply, _key("supplier", "l_suppkey"), _key("part", "l_partkey"), "related_to", "inferred", 3, F.lit(0), F.col("q") / 50.0))
+        of(nation, _mark("region", "n_regionkey"), _mark("nation", "n_nationkey"), "contains", "extracted", 0, F.col("n_nationkey"))
+        .unionByName(of(customer, _mark("nation", "c_nationkey"), _mark("customer", "c_custkey"), "contains", "extracted", 0, F.col("c_custkey")))
+        .unionByName(of(supplier, _mark("nation", "s_nationkey"), _mark("supplier", "s_suppkey"), "contains", "extracted", 0, F.col("s_suppkey")))
+        .unionByName(of(orders, _mark("orders", "o_orderkey"), _mark("customer", "o_custkey"), "references", "extracted", 1, F.lit(0)))
+        .unionByName(of(lineitem, _mark("orders", "l_orderkey"), _mark("part", "l_partkey"), "depends_on", "inferred", 2, F.col("l_linenumber"), 1 - F.col("l_discount"), "line item"))
+        .unionByName(of(supply, _mark("supplier", "l_suppkey"), _mark("part", "l_partkey"), "related_to", "inferred", 3, F.lit(0), F.col("q") / 50.0))
     )
 
 
-def links(spark, sf_dir):
+def marked_links(spark, sf_dir):
     return E.first_edge_wins(candidate_links(spark, sf_dir))
 
 
+def links(spark, sf_dir):
+    return marked_links(spark, sf_dir).withColumns({c: _named(c) for c in ("source", "target")})
+
+
 def settled_links(spark, sf_dir):
     """For queries that read the links again and again."""
     return G.settle(links(spark, sf_dir))
@@ -335,11 +356,11 @@ def q16_scan_cost(spark, sf_dir):
 @_query(GRAPH + "SELECT 'node' AS what, id AS a, NULL AS b, type FROM nodes UNION ALL SELECT DISTINCT 'edge', source, target, type FROM links")
 def q17_merge(spark, sf_dir):
     """Two whole graphs that share all nodes and the edges of two phases: each edge once."""
-    n, e = G.settle(nodes(spark, sf_dir)), settled_links(spark, sf_dir)
+    n, e = nodes(spark, sf_dir, _mark), marked_links(spark, sf_dir)
     first, second = e.where("type <> 'related_to'"), e.where("type <> 'depends_on'")
     merged, edges = M.merge_graphs([(n, first), (n, second)])
-    return merged.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), "type").unionByName(
-        edges.select(F.lit("edge").alias("what"), F.col("source").alias("a"), F.col("target").alias("b"), "type")
+    return merged.select(F.lit("node").alias("what"), _named("id").alias("a"), F.lit(None).cast("string").alias("b"), "type").unionByName(
+        edges.select(F.lit("edge").alias("what"), _named("source").alias("a"), _named("target").alias("b"), "type")
     )
 
 
@@ -350,12 +371,12 @@ UNION ALL SELECT source, target, [0, 1] FROM links WHERE source LIKE '%::7' AND
 )
 def q17_conflicts(spark, sf_dir):
     """Nodes and edges of two whole graphs that differ: names of some nodes, confidences of some edges."""
-    n, e = G.settle(nodes(spark, sf_dir).select("id", "name")), settled_links(spark, sf_dir)
-    other = n.withColumn("name", F.when(F.col("id").like("%::4"), F.lit("changed")).otherwise(F.col("name")))
+    n, e = nodes(spark, sf_dir, _mark).select("id", "name"), marked_links(spark, sf_dir)
+    other = n.withColumn("name", F.when(_named("id").like("%::4"), F.lit("changed")).otherwise(F.col("name")))
     keys = ["source", "target", "type", "provenance"]
-    less = e.withColumn("confidence", F.when(F.col("source").like("%::7"), F.col("confidence") / 4).otherwise(F.col("confidence")))
-    of_nodes = M.conflicts(M.stack([n, other]), ["id"], ["name"]).select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), "inputs")
-    return of_nodes.unionByName(M.conflicts(M.stack([e, less]), keys, ["confidence"]).select(F.col("source").alias("a"), F.col("target").alias("b"), "inputs"))
+    less = e.withColumn("confidence", F.when(_named("source").like("%::7"), F.col("confidence") / 4).otherwise(F.col("confidence")))
+    of_nodes = M.conflicts(M.stack([n, other]), ["id"], ["name"], 2).select(_named("id").alias("a"), F.lit(None).cast("string").alias("b"), "inputs")
+    return of_nodes.unionByName(M.conflicts(M.stack([e, less]), keys, ["confidence"], 2).select(_named("source").alias("a"), _named("target").alias("b"), "inputs"))
 
 
 @_query("""

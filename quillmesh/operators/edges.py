@@ -3,12 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.deal import deal, tasks
 from ..plans.model import EDGE_TYPES, NODE_TYPES
 
 
 def first_edge_wins(candidates: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """One edge for each ordered pair: the first by (phase, seq). No loops; with ``nodes``, both
-    ends must exist. The minimum of a struct combines on the map side, unlike a ranked window."""
+    ends must exist. One sort of each task's pairs; of names that begin alike a sort compares whole
+    rows, so a hash of both goes first."""
     rest = [c for c in candidates.columns if c not in ("source", "target", "phase", "seq")]
     kept = candidates.where("source <> target")
     if nodes is not None:
@@ -16,7 +18,8 @@ def first_edge_wins(candidates: DataFrame, nodes: DataFrame | None = None) -> Da
         kept = kept.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(
             ids.withColumnRenamed("id", "target"), "target", "left_semi"
         )
-    won = kept.groupBy("source", "target").agg(F.min(F.struct("phase", "seq", *rest)).alias("e"))
+    first = [F.xxhash64("source", "target").alias("_hash")] if dict(kept.dtypes)["source"] == "string" else []
+    won = deal(kept, "source", "target").groupBy(*first, "source", "target").agg(F.min(F.struct("phase", "seq", *rest)).alias("e"))
     return won.select("source", "target", *[f"e.{c}" for c in rest])
 
 

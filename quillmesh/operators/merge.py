@@ -2,10 +2,13 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.deal import deal
 from ..plans.model import CODE_TYPES, CONCEPT_KINDS, EDGE_TYPES, HEADING_SOURCES, NODE_TYPES, PROVENANCE
+from .edges import dangling
+from .expand import settle
 
 
 class MergeConflictError(Exception):
@@ -18,21 +21,45 @@ def stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
 
 
-def conflicts(rows: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
-    """Keys whose payload differs between rows, with the first two inputs that hold them."""
-    body = F.to_json(F.struct(*payload))
-    seen = rows.groupBy(*keys).agg(F.min(body).alias("a"), F.max(body).alias("b"), F.array_sort(F.collect_set("input")).alias("inputs"))
-    return seen.where("a <> b").select(*keys, "inputs")
+WORD = 63  # inputs that one number holds as bits
 
 
-def merge_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key: the first by (input, ord)."""
+def seen_inputs(inputs: int) -> tuple[list, Column]:
+    """Aggregates of ``input`` as bits, and the inputs they hold in order. Numbers, unlike a set, leave an
+    aggregation that sorts to sort once."""
+    words = [(f"_w{at}", at, min(at + WORD, inputs)) for at in range(0, inputs, WORD)]
+    bit = lambda k: F.when(F.col("input") == k, F.lit(1 << (k % WORD)).cast("long"))
+    masks = [F.bit_or(F.coalesce(*[bit(k) for k in range(a, b)])).alias(w) for w, a, b in words]
+    held = [F.when(F.col(w).bitwiseAND(F.lit(1 << (k % WORD)).cast("long")) != 0, F.lit(k)) for w, a, b in words for k in range(a, b)]
+    return masks, F.array_compact(F.array(*held)).alias("inputs")
+
+
+def bodies(payload: list[str]) -> list:
+    """The least and the greatest payload; where they are one, all rows agree."""
+    body = F.struct(*payload)
+    return [F.min(body).alias("_a"), F.max(body).alias("_b")]
+
+
+DIFFERS = "not (_a <=> _b)"
+
+
+def conflicts(rows: DataFrame, keys: list[str], payload: list[str], inputs: int) -> DataFrame:
+    """Keys whose payload differs between rows of ``inputs`` inputs, with the inputs that hold them."""
+    masks, held = seen_inputs(inputs)
+    return deal(rows, *keys).groupBy(*keys).agg(*bodies(payload), *masks).where(DIFFERS).select(*keys, held)
+
+
+def merge_rows(rows: DataFrame, keys: list[str], payload: list[str], inputs: int) -> tuple[DataFrame, DataFrame]:
+    """One row for each key, the first by (input, ord), and the conflicts: both of one aggregation, which
+    is settled."""
     rest = [c for c in rows.columns if c not in (*keys, "input", "ord")]
     order = F.struct(*[c for c in ("input", "ord") if c in rows.columns])
-    if not rest:
-        return rows.select(*keys).distinct()
-    won = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r"))
-    return won.select(*keys, "r.*")
+    first = [F.min_by(F.struct(*rest), order).alias("_r")] if rest else []
+    masks, held = seen_inputs(inputs)
+    seen = deal(rows, *keys).groupBy(*keys).agg(*first, *bodies(payload), *masks)
+    bad = F.when(F.expr(DIFFERS), held).alias("_inputs")
+    done = settle(seen.select(*keys, *[f"_r.{c}" for c in rest], bad))
+    return done.drop("_inputs"), done.where("_inputs is not null").select(*keys, F.col("_inputs").alias("inputs"))
 
 
 def merge_graphs(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
@@ -45,11 +72,14 @@ def merge_graphs(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame,
     node_body = [c for c in nodes.columns if c not in ("id", "ord", "input")]
     link_keys = ["source", "target", "type", "provenance"]
     link_body = [c for c in links.columns if c not in (*link_keys, "ord", "input")] or ["type"]
+    merged = []
     for rows, keys, body in ((nodes, ["id"], node_body), (links, link_keys, link_body)):
-        bad = conflicts(rows, keys, body).orderBy(*keys).limit(5).collect()
+        kept, clashes = merge_rows(rows, keys, body, len(graphs))
+        bad = clashes.orderBy(*keys).limit(5).collect()
         if bad:
             raise MergeConflictError("; ".join(str(r.asDict()) for r in bad))
-    return merge_rows(nodes, ["id"]), merge_rows(links, link_keys)
+        merged.append(kept)
+    return tuple(merged)
 
 
 def shared_or_drop(values: list[dict]) -> dict:
