@@ -201,8 +201,8 @@ SELECT source, target, type, 'source' AS "end" FROM links WHERE source NOT IN (S
 UNION ALL SELECT source, target, type, 'target' FROM links WHERE target NOT IN (SELECT id FROM fewer)"""
 )
 def q03_dangling(spark, sf_dir):
-    fewer = nodes(spark, sf_dir).where("id not like 'customer::%7' and id not like 'part::%3'")
-    return E.dangling(fewer, links(spark, sf_dir))
+    fewer = nodes(spark, sf_dir, _mark).where(~_named("id").like("customer::%7") & ~_named("id").like("part::%3"))
+    return E.dangling(fewer, marked_links(spark, sf_dir)).withColumns({c: _named(c) for c in ("source", "target")})
 
 
 @_query(GRAPH + "SELECT source, target, type, round(w, 6) AS cost FROM costs")

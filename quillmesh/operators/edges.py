@@ -66,11 +66,18 @@ def induced(nodes: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[DataFra
 
 
 def dangling(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Links with an end that is no node: source, target, type, end."""
-    ids = nodes.select("id").distinct()
-    ends = links.select("source", "target", "type", F.explode(F.array(F.lit("source"), F.lit("target"))).alias("end"))
-    ends = ends.withColumn("id", F.when(F.col("end") == "source", F.col("source")).otherwise(F.col("target")))
-    return ends.join(ids, "id", "left_anti").select("source", "target", "type", "end")
+    """Links with an end that is no node: source, target, type, end. A link is shuffled once for each
+    end, with both ids once."""
+    # The links follow the ids: dealt themselves, they would be dealt again below the join.
+    ids = deal(nodes.select("id"), "id", n=tasks(nodes, links)).distinct()
+    end = lambda at, other, out: F.struct(F.col(at).alias("id"), F.col(other).alias("other"), F.lit(out).alias("out"))
+    ends = links.select("type", F.inline(F.array(end("source", "target", True), end("target", "source", False))))
+    lost = ends.join(ids, "id", "left_anti")
+    either = lambda a, b: F.when(F.col("out"), a).otherwise(b)
+    return lost.select(
+        either(F.col("id"), F.col("other")).alias("source"), either(F.col("other"), F.col("id")).alias("target"), "type",
+        either(F.lit("source"), F.lit("target")).alias("end"),
+    )
 
 
 def stats(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -35,3 +35,18 @@ def test_merge_aggregates_once(spark):
     assert {r.id: r.name for r in nodes.collect()} == {"a": "x", "b": None} and links.count() == 2
     with pytest.raises(M.MergeConflictError, match=r"\[0, 1, 2\]"):
         M.merge_graphs([(n, e), (n, e), (n, e.withColumn("confidence", F.lit(0.5)))])
+
+
+def test_dangling_shuffles_each_end_once(spark, monkeypatch):
+    links = spark.createDataFrame([("a", "b", "calls"), ("x", "a", "calls"), ("x", "y", "uses"), (None, "a", "uses")], "source string, target string, type string")
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    got = {tuple(r) for r in E.dangling(nodes, links).collect()}
+    assert got == {("x", "a", "calls", "source"), ("x", "y", "uses", "source"), ("x", "y", "uses", "target"), (None, "a", "uses", "source")}
+    monkeypatch.setattr(D, "PIECE", 20000)
+    wide = E.dangling(C.nodes(spark, SF, C._mark), C.marked_links(spark, SF))
+    n = D.tasks(C.nodes(spark, SF), C.marked_links(spark, SF))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert f"hashpartitioning(id#" in plan(wide) and f", {n}), ENSURE_REQUIREMENTS" in plan(wide) and wide.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
