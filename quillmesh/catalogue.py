@@ -306,7 +306,7 @@ SELECT a.l_orderkey, a.l_linenumber, a.level, max(b.l_linenumber) AS parent
 FROM l a LEFT JOIN l b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber < a.l_linenumber AND b.level < a.level
 GROUP BY a.l_orderkey, a.l_linenumber, a.level""")
 def q12_outline(spark, sf_dir):
-    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (1 + F.col("l_partkey") % 4).alias("level"))
+    lines = deal(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (1 + F.col("l_partkey") % 4).alias("level")), "l_orderkey")
     return L.outline(lines, "l_orderkey", "l_linenumber", "level", 5).distinct()
 
 

@@ -50,3 +50,11 @@ def test_dangling_shuffles_each_end_once(spark, monkeypatch):
         assert f"hashpartitioning(id#" in plan(wide) and f", {n}), ENSURE_REQUIREMENTS" in plan(wide) and wide.count() == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_outline_is_dealt_by_its_input(spark, monkeypatch):
+    want = {tuple(r) for r in C.q12_outline(spark, SF).collect()}
+    monkeypatch.setattr(D, "PIECE", 2000)
+    dealt = C.q12_outline(spark, SF)
+    assert dealt.rdd.getNumPartitions() == D.tasks(spark.read.parquet(f"{SF}/lineitem.parquet")) > 40
+    assert {tuple(r) for r in dealt.collect()} == want
