@@ -459,12 +459,12 @@ UNION ALL SELECT 'dangling_target', source || ' -> ' || target FROM bl WHERE tar
 UNION ALL SELECT 'concept', id FROM nodes WHERE id LIKE 'part::%5'"""
 )
 def q21_violations(spark, sf_dir):
-    n = nodes(spark, sf_dir).where("id not like 'part::%3'")
-    n = n.withColumn("name", F.when(F.col("id").like("part::%5"), F.lit(" ")).otherwise(F.col("name")))
-    e = settled_links(spark, sf_dir)
-    e = e.withColumn("type", F.when(F.col("source") == "orders::7", F.lit("unknown")).otherwise(F.col("type")))
-    e = e.withColumn("provenance", F.when(F.col("target").like("part::%9"), F.lit("extracted")).otherwise(F.col("provenance")))
-    return M.violations(n, e)
+    n = nodes(spark, sf_dir, _mark).where(~_named("id").like("part::%3"))
+    n = n.withColumn("name", F.when(_named("id").like("part::%5"), F.lit(" ")).otherwise(F.col("name")))
+    e = marked_links(spark, sf_dir)
+    e = e.withColumn("type", F.when(_named("source") == "orders::7", F.lit("unknown")).otherwise(F.col("type")))
+    e = e.withColumn("provenance", F.when(_named("target").like("part::%9"), F.lit("extracted")).otherwise(F.col("provenance")))
+    return M.violations(n, e, _named)
 
 
 @_query(

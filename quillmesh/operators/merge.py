@@ -88,9 +88,9 @@ def shared_or_drop(values: list[dict]) -> dict:
     return {k: v for k, v in first.items() if all(k in r and r[k] == v for r in rest)}
 
 
-def violations(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """rule, what: everything the format forbids. One scan of each table for all row rules, and two
-    anti joins for the ends."""
+def violations(nodes: DataFrame, links: DataFrame, shown=lambda name: F.col(name)) -> DataFrame:
+    """rule, what: everything the format forbids, ids as ``shown`` says. One scan of each table for all
+    row rules, and an anti join for both ends."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     code, kind = F.col("type").isin(*CODE_TYPES), F.col("type")
     no_line = F.coalesce(F.col("start_line"), F.lit(0)) < 1
@@ -120,13 +120,10 @@ def violations(nodes: DataFrame, links: DataFrame) -> DataFrame:
         tests = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
         return df.select(F.explode(tests).alias("rule"), what.alias("what"))
 
-    pair = F.concat_ws(" -> ", "source", "target")
-    ids = nodes.select("id").distinct()
-    lost = [
-        links.join(ids, links[end] == ids.id, "left_anti").select(F.lit(f"dangling_{end}").alias("rule"), pair.alias("what")) for end in ("source", "target")
-    ]
-    twice = nodes.groupBy("id").count().where("count > 1").select(F.lit("duplicate_id").alias("rule"), F.col("id").alias("what"))
-    return reduce(DataFrame.unionByName, [broken(nodes, node_rules, F.col("id")), broken(links, link_rules, pair), *lost, twice])
+    pair = F.concat_ws(" -> ", shown("source"), shown("target"))
+    lost = dangling(nodes, links).select(F.concat(F.lit("dangling_"), "end").alias("rule"), pair.alias("what"))
+    twice = deal(nodes.select("id"), "id").groupBy("id").count().where("count > 1").select(F.lit("duplicate_id").alias("rule"), shown("id").alias("what"))
+    return reduce(DataFrame.unionByName, [broken(nodes, node_rules, shown("id")), broken(links, link_rules, pair), lost, twice])
 
 
 # Fixed patterns: how an answer cites a node or an edge.

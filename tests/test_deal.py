@@ -58,3 +58,14 @@ def test_outline_is_dealt_by_its_input(spark, monkeypatch):
     dealt = C.q12_outline(spark, SF)
     assert dealt.rdd.getNumPartitions() == D.tasks(spark.read.parquet(f"{SF}/lineitem.parquet")) > 40
     assert {tuple(r) for r in dealt.collect()} == want
+
+
+def test_violations_join_the_ends_once(spark):
+    nodes = spark.createDataFrame([(1, "dir"), (1, "dir"), (2, "dir")], "id bigint, type string")
+    for c in ("name", "file", "source", "kind", "text", "language"):
+        nodes = nodes.withColumn(c, F.lit(None).cast("string"))
+    nodes = nodes.withColumns({c: F.lit(None).cast("int") for c in ("start_line", "page", "start_sec", "end_sec")})
+    links = spark.createDataFrame([(1, 3, "calls", "extracted", None, None), (4, 2, "calls", "extracted", None, None)], "source bigint, target bigint, type string, provenance string, confidence double, evidence string")
+    found = M.violations(nodes, links, lambda c: F.concat(F.lit("n"), F.col(c).cast("string")))
+    assert {tuple(r) for r in found.collect()} == {("dangling_target", "n1 -> n3"), ("dangling_source", "n4 -> n2"), ("duplicate_id", "n1")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1
