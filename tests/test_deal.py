@@ -69,3 +69,10 @@ def test_violations_join_the_ends_once(spark):
     found = M.violations(nodes, links, lambda c: F.concat(F.lit("n"), F.col(c).cast("string")))
     assert {tuple(r) for r in found.collect()} == {("dangling_target", "n1 -> n3"), ("dangling_source", "n4 -> n2"), ("duplicate_id", "n1")}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1
+
+
+def test_conflicts_sort_once_and_name_all_inputs(spark):
+    rows = spark.createDataFrame([("a", 1, 0), ("a", 2, 64), ("a", 1, 70), ("b", 1, 3), ("b", 1, 4), ("c", None, 62), ("c", 1, 63)], "id string, v int, input int")
+    found = M.conflicts(rows, ["id"], ["v"], 71)
+    assert {r.id: r.inputs for r in found.collect()} == {"a": [0, 64, 70], "c": [62, 63]}
+    assert "ObjectHashAggregate" not in plan(found)
