@@ -9,7 +9,7 @@ from .operators import enrich as N
 from .operators import expand as G
 from .operators import links as L
 from .operators import merge as M
-from .plans.deal import deal
+from .plans.deal import deal, tasks
 from .plans.model import edge_cost, slug
 from .sources import files as S
 
@@ -295,7 +295,8 @@ def q10_lexical_top(spark, sf_dir):
 @_query()
 def q11_fuzzy_top(spark, sf_dir):
     """Full fuzzy score of parts against a misspelt phrase (sequence ratios have no SQL form)."""
-    parts = nodes(spark, sf_dir).where("type = 'concept'")
+    # Python takes its time over each row, and a narrow table is few splits however many rows it has.
+    parts = deal(nodes(spark, sf_dir).where("type = 'concept'"), "id", n=tasks(_t(spark, sf_dir, "part"), piece=256 << 10))
     scored = parts.select("id", X.fuzzy_score("smal brused brass", parts.columns).alias("score"))
     return scored.where("score >= 0.4").orderBy(F.desc("score"), F.length("id"), "id").limit(20)
 

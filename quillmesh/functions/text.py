@@ -1,5 +1,6 @@
 """Text scoring: everything but the sequence ratio is a column expression."""
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -73,31 +74,41 @@ def _most(a: str, b: str) -> float:
     return 2.0 * min(len(a), len(b)) / (len(a) + len(b)) if a and b else 0.0
 
 
-def _best(query: str, others) -> float:
-    best = 0.0
+def _shared(counts: dict[str, int], size: int, other: str) -> float:
+    """What the ratio cannot exceed, by the characters that both hold; ``counts`` and ``size`` are one's."""
+    return 2.0 * sum([min(n, other.count(c)) for c, n in counts.items()]) / (size + len(other)) if size and other else 0.0
+
+
+def _best(query: str, counts: dict[str, int], others, best: float = 0.0) -> float:
     for other in others:
-        if _most(query, other) > best:
+        if _most(query, other) > best and _shared(counts, len(query), other) > best:
             best = max(best, ratio(query, other))
     return best
 
 
 def ratio_scores(query: str):
     """Best sequence ratio of ``query`` against text, name and id, and of near-miss tokens. Ratios that
-    lengths rule out are not computed, those of a token once a batch."""
-    asked = sorted(set(_words(query)))
+    lengths or characters rule out are not computed, those of a token or a name once a batch."""
+    asked = {word: Counter(word) for word in sorted(set(_words(query)))}
+    counts = Counter(query)
 
     @pandas_udf("double")
     def score(text: pd.Series, name: pd.Series, node_id: pd.Series) -> pd.Series:
         near: dict[str, float] = {}
+        named: dict[str, float] = {}
 
         def nearness(token):
             if token not in near:
-                near[token] = max((ratio(a, token) for a in asked if _most(a, token) >= NEAR), default=0.0)
+                like = (a for a, held in asked.items() if _most(a, token) >= NEAR and _shared(held, len(a), token) >= NEAR)
+                near[token] = max((ratio(a, token) for a in like), default=0.0)
             return near[token]
 
         out = []
         for t, n, i in zip(text, name, node_id):
-            best = _best(query, (n or "", t or "", i or ""))
+            n = n or ""
+            if n not in named:
+                named[n] = ratio(query, n)
+            best = _best(query, counts, (t or "", i or ""), named[n])
             close = max(map(nearness, _words(t or "")), default=0.0)
             out.append(max(best, close * 0.95 if close >= NEAR else 0.0))
         return pd.Series(out, dtype="float64")

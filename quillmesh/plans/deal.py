@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 PIECE = 16 << 20  # bytes of files for each task; what is read for two uses counts twice
 
 
-def tasks(*frames: DataFrame) -> int:
+def tasks(*frames: DataFrame, piece: int | None = None) -> int:
     """Tasks that keep the share of each the same however large the files are that ``frames`` read, or 0
     where the session's own number will do. What was checkpointed in n parts gets n at least."""
     size = parts = 0
@@ -18,7 +18,7 @@ def tasks(*frames: DataFrame) -> int:
                 size += int(str(leaf.stats().sizeInBytes()))
             elif kind == "LogicalRDD":
                 parts = max(parts, leaf.rdd().getNumPartitions())
-    wanted = max(-(-size // PIECE), 0)
+    wanted = max(-(-size // (piece or PIECE)), 0)
     least = frames[0].sparkSession.sparkContext.defaultParallelism
     if wanted < 2 and parts <= least:
         return 0

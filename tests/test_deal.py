@@ -1,7 +1,9 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillmesh import catalogue as C
+from quillmesh.functions import text as X
 from quillmesh.operators import edges as E
 from quillmesh.operators import merge as M
 from quillmesh.plans import deal as D
@@ -76,3 +78,20 @@ def test_conflicts_sort_once_and_name_all_inputs(spark):
     found = M.conflicts(rows, ["id"], ["v"], 71)
     assert {r.id: r.inputs for r in found.collect()} == {"a": [0, 64, 70], "c": [62, 63]}
     assert "ObjectHashAggregate" not in plan(found)
+
+
+def test_ratios_that_characters_rule_out_are_not_computed(spark, monkeypatch):
+    asked, made = "smal brused brass", []
+    texts, names, ids = ["part::45678 concept tin nut other", "part::3 concept small brushed brass"], ["tin nut", "small brushed brass"], ["part::45678", "part::3"]
+    real = X.ratio
+    want = [max(max(real(asked, x) for x in row), max((0.95 * r for w in row[0].split() for a in asked.split() if (r := real(a, w)) >= 0.8), default=0.0)) for row in zip(texts, names, ids)]
+    monkeypatch.setattr(X, "ratio", lambda a, b: made.append((a, b)) or real(a, b))
+    assert X.ratio_scores(asked).func(pd.Series(texts), pd.Series(names), pd.Series(ids)).tolist() == want
+    assert "45678" not in [b for _, b in made]  # of a fitting length, but of no common character
+
+
+def test_fuzzy_rows_are_dealt(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(C, "deal", lambda df, *keys, n=None: dealt.append((keys, n)) or df.repartition(3, *keys))
+    monkeypatch.setattr(C, "tasks", lambda df, piece: 3)
+    assert C.q11_fuzzy_top(spark, SF).count() > 0 and dealt == [(("id",), 3)]
