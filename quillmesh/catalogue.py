@@ -220,8 +220,9 @@ SELECT id, round(cost, 6) AS cost, 3 AS hops, nodes FROM (SELECT *, row_number()
 @_query(GRAPH + _PATHS)
 def q05_shortest_paths(spark, sf_dir):
     ends = [f"part::{k}" for k in (1, 2, 3, 5, 8, 13, 21)]
-    found = G.shortest_paths(links(spark, sf_dir), "region::0", ends)
-    return found.select("id", F.round("cost", 6).alias("cost"), "hops", F.array_join("nodes", " ").alias("nodes"))
+    mark = lambda i: int(i.partition("::")[2]) * 8 + _TABLES.index(i.partition("::")[0])
+    found = G.shortest_paths(marked_links(spark, sf_dir), mark("region::0"), [mark(i) for i in ends], shown=_named)
+    return found.select(_named("id").alias("id"), F.round("cost", 6).alias("cost"), "hops", F.array_join("nodes", " ").alias("nodes"))
 
 
 @_query(r"""

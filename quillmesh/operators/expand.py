@@ -2,9 +2,11 @@
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.deal import deal
 from ..plans.model import edge_cost
 
 
@@ -61,34 +63,45 @@ def neighbourhood(links: DataFrame, seeds: list[str], hops: int, cap: int = 500)
     return list(found.items()), False
 
 
-def shortest_paths(links: DataFrame, start: str, ends: list[str] | None = None, max_rounds: int = 1000, **cost) -> DataFrame:
+def shortest_paths(links: DataFrame, start, ends: list | None = None, max_rounds: int = 1000, shown=lambda name: F.col(name), **cost) -> DataFrame:
     """id, cost, hops, nodes: the cheapest directed path from ``start`` to each node (or each of
-    ``ends``); equal costs go to fewer hops, then the smaller node list.
+    ``ends``); equal costs go to fewer hops, then the smaller node list, whose ids are as ``shown``.
 
     Rounds of relaxation over the nodes improved last; with ``ends``, what costs more than all of
-    them cannot improve one and is let go."""
+    them cannot improve one and is let go before the links are read again. The links are dealt and
+    sorted by source once and lie on the executors' disks so; a round shuffles no link."""
     spark = links.sparkSession
-    edges = settle(links.select("source", "target", edge_cost(**cost).alias("w")))
-    best = spark.createDataFrame([(start, 0.0, 0, [start])], "id string, cost double, hops int, nodes array<string>")
+    edges = deal(links.select("source", "target", edge_cost(**cost).alias("w")), "source").sortWithinPartitions("source").persist(StorageLevel.DISK_ONLY)
+    try:
+        return _relax(spark, edges, start, ends, max_rounds, shown)
+    finally:
+        edges.unpersist()
+
+
+def _relax(spark, edges, start, ends, max_rounds, shown):
+    kind = dict(edges.dtypes)["source"]
+    best = spark.createDataFrame([(start, 0.0, 0)], f"id {kind}, cost double, hops int").select("*", F.array(shown("id")).alias("nodes"))
     frontier = best
     for _ in range(max_rounds):
         step = (
             frontier.join(edges, frontier.id == edges.source)
-            .where(~F.array_contains("nodes", F.col("target")))
-            .select(F.col("target").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("nodes", F.array("target")).alias("nodes"))
+            .where(~F.array_contains("nodes", shown("target")))
+            .select(F.col("target").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("nodes", F.array(shown("target"))).alias("nodes"))
             .groupBy("id")
             .agg(F.min(F.struct("cost", "hops", "nodes")).alias("new"))
         )
         old = best.select("id", F.struct("cost", "hops", "nodes").alias("old"))
         joined = step.join(old, "id", "left").where("old is null or new < old").select("id", "new.*")
-        if ends is not None:
-            reached = best.where(F.col("id").isin(ends)).agg(F.max("cost"), F.countDistinct("id")).first()
-            if reached[1] == len(set(ends)):
-                joined = joined.where(F.col("cost") <= reached[0])
         frontier = settle(joined)
         if frontier.isEmpty():
             break
         best = settle(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier))
+        if ends is not None:
+            reached = best.where(F.col("id").isin(ends)).agg(F.max("cost"), F.countDistinct("id")).first()
+            if reached[1] == len(set(ends)):
+                frontier = frontier.where(F.col("cost") <= reached[0])
+                if frontier.isEmpty():
+                    break
     else:
         raise PathError("paths did not settle")
     return best if ends is None else best.where(F.col("id").isin(ends))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillmesh import catalogue as C
 from quillmesh.functions import text as X
 from quillmesh.operators import edges as E
+from quillmesh.operators import expand as G
 from quillmesh.operators import merge as M
 from quillmesh.plans import deal as D
 
@@ -95,3 +96,14 @@ def test_fuzzy_rows_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(C, "deal", lambda df, *keys, n=None: dealt.append((keys, n)) or df.repartition(3, *keys))
     monkeypatch.setattr(C, "tasks", lambda df, piece: 3)
     assert C.q11_fuzzy_top(spark, SF).count() > 0 and dealt == [(("id",), 3)]
+
+
+def test_paths_shuffle_links_once_and_stop_at_the_dearest_end(spark, monkeypatch):
+    rows = [(0, 1, "calls", "extracted", 1.0), (1, 2, "calls", "extracted", 1.0), (0, 9, "calls", "extracted", 0.35), (9, 10, "calls", "extracted", 1.0)]
+    links = spark.createDataFrame([(a, b, *rest) for a, b, *rest in rows], "source bigint, target bigint, type string, provenance string, confidence double")
+    settled, real = [], G.settle
+    monkeypatch.setattr(G, "settle", lambda df: settled.append(df.columns) or real(df))
+    found = G.shortest_paths(links, 0, [2], shown=lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))).collect()
+    assert [(r.id, r.cost, r.hops, r.nodes) for r in found] == [(2, 2.0, 2, ["n0", "n1", "n2"])]
+    assert len(settled) == 5 and ["source", "target", "w"] not in settled  # two rounds and an empty one, whose frontier is the end alone
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
